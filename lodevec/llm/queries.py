@@ -22,7 +22,23 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodevec.llm.near_dedup import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodevec.llm.mixing import mix_plan
+
+    plan = mix_plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    taken = (F.size("_copies") * F.col("_size")).cast("long")
+    return plan.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))
+
+
 QUERIES = {
+    "op3_near_dedup": op3_near_dedup,
+    "op5_source_mixing": op5_source_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_exact_dedup": op9_exact_dedup,
 }
