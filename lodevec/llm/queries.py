@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+#: The vocabulary that op2 and the pipeline encode with; its folder is a parameter.
+TOKENIZERS = os.environ.get("LODEVEC_TOKENIZERS", "/opt/tokenizers")
+
+
+def op2_piece_coding(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    from lodevec.llm.pieces import PieceModel, encoded
+
+    return encoded(table(spark, sf_dir, "documents"), PieceModel.load(f"{tokenizers}/piece_bpe_32k.model"), decode=True)
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodevec.llm.near_dedup import near_dedup
 
@@ -36,14 +48,36 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodevec.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodevec.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op2_piece_coding": op2_piece_coding,
     "op3_near_dedup": op3_near_dedup,
     "op5_source_mixing": op5_source_mixing,
+    "op6_toxicity": op6_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_warc": op10_warc,
 }
 
 SQL = {
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
+        SELECT page_id, strlen(h) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + (((('0x' || substr(x, 1 + (5 * i) // 4, 2))::INTEGER >> (3 - (5 * i) % 4)::INTEGER) & 31)::INTEGER), 1)), '') AS payload_digest,
+               CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+        FROM p""",
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
