@@ -1,26 +1,72 @@
-"""Connected components by alternating large-star and small-star steps, in joins and aggregations alone."""
+"""Connected components by alternating large-star and small-star steps; each task contracts the edges it writes."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodevec.llm.common import drop_paths, written
 
 
+#: Edges that a task contracts at once.
+RUN = 1_000_000
+
+
+def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges other than roots, and the smallest node that each reaches by them."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        for ends in (x, y, root[x], root[y]):
+            np.minimum.at(new, ends, low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    other = root != np.arange(len(nodes))
+    return nodes[other], nodes[root[other]]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges of the same components, fewer: what a task holds becomes stars."""
+
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush():
+            a, b = local_roots(*(np.concatenate(x) for x in zip(*held)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            if len(batch):
+                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            if sum(len(x) for x, _ in held) >= RUN:
+                yield flush()
+        if held:
+            yield flush()
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def _star(edges: DataFrame) -> DataFrame:
     """Large star: every node's larger neighbours are linked to its smallest neighbour (itself included)."""
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     moved = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return moved.where("a <> b").distinct()
+    return moved.where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Small star: every node and its smaller neighbours are linked to the smallest of them. Edges come as a > b."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
+    return moved.where("a <> b").union(least.select("a", F.col("m").alias("b")))
 
 
 def components(links: DataFrame, paths: list[str]) -> DataFrame:
@@ -30,12 +76,12 @@ def components(links: DataFrame, paths: list[str]) -> DataFrame:
     A step moves a bounded number of rows per link; hubs meet in map-side combines and in joins that AQE can split.
     """
     x, y = links.columns
-    pairs = links.where(F.col(x) != F.col(y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
+    pairs = links.where(F.col(x) != F.col(y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     spark, own, old = links.sparkSession, [], []
-    edges, mark = written(pairs, "edges", own), None
+    edges, mark = written(contracted(pairs), "edges", own), None
     while True:
         new_paths: list[str] = []
-        edges = written(_small_star(_star(edges)), "edges", new_paths)
+        edges = written(contracted(_small_star(_star(edges))).distinct(), "edges", new_paths)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         old, own = own, new_paths
         if now == mark:

@@ -254,8 +254,9 @@ def near_dedup(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     rest = members.join(parts, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     more = written(between(rest, reps, params).join(tried, ["a", "b"], "left_anti"), "more", paths)
     if not more.isEmpty():
-        links = links.union(verified(more, docs, params, paths))
-        parts = components(links, paths)
+        # The links found so far are held by their components.
+        links = written(links.union(verified(more, docs, params, paths)), "links", paths)
+        parts = components(parts.select("id", "component").union(links), paths)
     found = sketch.select("id", "n", "digest").join(reps.select("digest", F.col("id").alias("rep")), "digest", "left")
     # A row whose set is some other row's as well belongs to the representative; its id may have links under other texts.
     same = found.where("rep is not null and id is not null and id <> rep").select("id", "rep").distinct()

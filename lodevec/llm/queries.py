@@ -28,6 +28,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENIZERS = os.environ.get("LODEVEC_TOKENIZERS", "/opt/tokenizers")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodevec.llm.pii import pii
+
+    return pii(table(spark, sf_dir, "documents"))
+
+
 def op2_piece_coding(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     from lodevec.llm.pieces import PieceModel, encoded
 
@@ -40,6 +46,15 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodevec.llm.chat import chats, linear, read_back
+
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    return read_back(chats(linear(rows)))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodevec.llm.mixing import mix_plan
 
@@ -54,6 +69,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodevec.llm.secrets import secrets
+
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodevec.llm.warc import round_trip
 
@@ -61,16 +82,28 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_piece_coding": op2_piece_coding,
     "op3_near_dedup": op3_near_dedup,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_source_mixing": op5_source_mixing,
     "op6_toxicity": op6_toxicity,
+    "op7_secrets": op7_secrets,
     "op8_quality_rules": op8_quality_rules,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_warc": op10_warc,
 }
 
 SQL = {
+    "op4_chat_formatting": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
+                   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]'
+                   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]'),
+        g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) AS said,
+                     coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST), '') AS learned,
+                     sum(13 + 2 * length(role) + 2 * length(text) - length(regexp_replace(role, '[\\<|\[]', '', 'g')) - length(regexp_replace(text, '[\\<|\[]', '', 'g')))::BIGINT AS formatted_chars
+              FROM c GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM g""",
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
         SELECT page_id, strlen(h) AS payload_bytes,
