@@ -1,7 +1,70 @@
-"""A training-corpus pipeline: quality rules, exact dedup, near-dedup, mixing, token encoding."""
-STAGES = []
+"""A training-corpus pipeline: quality rules, exact dedup, near-dedup, mixing to target weights, encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
+of documents; the last returns each mixed document's ids. STAGES are written as Parquet and read again between stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodevec.llm.common import written
+from lodevec.llm.exact_dedup import DedupParams, exact_dedup, hit_filter, with_mark
+from lodevec.llm.mixing import mix
+from lodevec.llm.near_dedup import near_dedup
+from lodevec.llm.pieces import PieceModel, encoded
+from lodevec.llm.quality import fit, score
+from lodevec.llm.queries import TOKENIZERS, table
+
+#: Not stated in SQL: hashed ratios, sketches, keyed draws and piece encoding are tested against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, as they are."""
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model, keep=docs.columns).where("kept").select(*docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts the one with the largest doc_id."""
+    return exact_dedup(docs).where("kept").select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id."""
+    dropped = written(near_dedup(docs).where("not kept").select(F.col("doc_id").cast("long").alias("_dropped")).distinct(), "dropped")
+    # A filter of fixed size: texts of documents that it doesn't have stay where they are.
+    params = DedupParams()
+    bits = written(hit_filter(dropped.toDF("digest"), params), "filter")
+    marked = with_mark(docs.withColumn("_id", F.col("doc_id").cast("long")), "_id", bits, params)
+    sure, maybe = marked.where("not _maybe"), marked.where("_maybe")
+    return sure.unionByName(maybe.join(dropped, F.col("_id") == F.col("_dropped"), "left_anti")).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a document comes as often as it is taken, in shards that are shuffled locally."""
+    return mix(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, ids and n_ids of every mixed row."""
+    return encoded(docs, PieceModel.load(f"{TOKENIZERS}/piece_bpe_32k.model"), keep=["doc_id", "source"])
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("exact dedup", exact_stage),
+    ("near dedup", near_stage),
+    ("mixing", mixing_stage),
+    ("piece encoding", encoding_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order over documents, each but the last written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
