@@ -57,6 +57,11 @@ def text_bytes(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("binary")
 
 
+def boxed(docs: DataFrame, **named: Column) -> DataFrame:
+    """docs with all columns in one struct, _row, and further columns: no name of docs can clash with ours."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(c.alias(n) for n, c in named.items()))
+
+
 def words_column(column: Column) -> Column:
     """Number of words of a text, null: 0."""
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")

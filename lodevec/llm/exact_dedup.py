@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import drop_paths, new_path, written
+from lodevec.llm.common import boxed, drop_paths, new_path, written
 
 #: Bits in one row of a filter (what bitmap_construct_agg makes).
 BITMAP = 32_768
@@ -104,6 +104,7 @@ def exact_dedup(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFra
     """
     spark = docs.sparkSession
     docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
+    rows = boxed(docs, _doc=F.col("doc_id").cast("long"), _text=F.coalesce("text", F.lit("")), _digest=digest_of(F.col("text"), params))
     paths: list[str] = []
     index = DigestIndex(spark, new_path(spark, "runs"), params)
     index.flush(docs)
@@ -112,20 +113,20 @@ def exact_dedup(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFra
     bits = written(hit_filter(hits, params), "filter", paths)
     drop_paths(spark, [index.path])
     best = F.max if params.keep == "largest" else F.min
-    marked = with_mark(docs.withColumn("_digest", digest_of(F.col("text"), params)), "_digest", bits, params)
+    marked = with_mark(rows, "_digest", bits, params)
     # Byte check: texts of one digest are told apart by grouping on the bytes; equal ones meet in the map-side combine.
-    checked = marked.where("_maybe").groupBy(F.col("_digest").alias("digest"), F.coalesce("text", F.lit("")).alias("bytes")).agg(best(F.col("doc_id").cast("long")).alias("id"), F.count(F.lit(1)).alias("n"))
+    checked = marked.where("_maybe").groupBy(F.col("_digest").alias("digest"), F.col("_text").alias("bytes")).agg(best("_doc").alias("id"), F.count(F.lit(1)).alias("n"))
     groups = checked.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("id").alias("id"), F.sum("n").alias("n"))
     groups = written(groups.where("n > 1"), "groups", paths)
-    alone = marked.where("not _maybe").withColumn("_id", F.col("doc_id").cast("long")).withColumn("_n", F.lit(1).cast("long"))
+    alone = marked.where("not _maybe").withColumn("_id", F.col("_doc")).withColumn("_n", F.lit(1).cast("long"))
     found = marked.where("_maybe").join(groups.where("texts = 1").select("digest", F.col("id").alias("_id"), F.col("n").alias("_n")), F.col("_digest") == F.col("digest"), "left").drop("digest")
     clash = groups.where("texts > 1").select("digest")
     if not clash.isEmpty():  # several texts under one digest: their rows meet by their bytes
         own = checked.join(clash, "digest", "left_semi").select("digest", "bytes", F.col("id").alias("_own"), F.col("n").alias("_m"))
-        found = found.join(own, (F.col("_digest") == F.col("digest")) & (F.coalesce("text", F.lit("")) == F.col("bytes")), "left")
+        found = found.join(own, (F.col("_digest") == F.col("digest")) & (F.col("_text") == F.col("bytes")), "left")
         found = found.withColumn("_id", F.coalesce("_own", "_id")).withColumn("_n", F.coalesce("_m", "_n")).drop("digest", "bytes", "_own", "_m")
-    found = found.withColumn("_n", F.coalesce("_n", F.lit(1)).cast("long")).withColumn("_id", F.when(F.col("_n") == 1, F.col("doc_id").cast("long")).otherwise(F.col("_id")))
+    found = found.withColumn("_n", F.coalesce("_n", F.lit(1)).cast("long")).withColumn("_id", F.when(F.col("_n") == 1, F.col("_doc")).otherwise(F.col("_id")))
     both = alone.unionByName(found)
-    sha = F.lower(F.hex(F.col("_digest"))) if params.digest_bytes == 32 else F.sha2(F.coalesce("text", F.lit("")), 256)
-    both = both.withColumn("keep_id", F.col("_id")).withColumn("group_size", F.col("_n")).withColumn("kept", F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).withColumn("text_sha256", sha)
-    return both.drop("_digest", "_maybe", "_id", "_n")
+    sha = F.lower(F.hex(F.col("_digest"))) if params.digest_bytes == 32 else F.sha2(F.col("_text"), 256)
+    kept = F.col("_doc").eqNullSafe(F.col("_id"))
+    return both.select("_row.*", F.col("_id").alias("keep_id"), F.col("_n").alias("group_size"), kept.alias("kept"), sha.alias("text_sha256"))

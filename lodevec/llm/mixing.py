@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import words_column
+from lodevec.llm.common import boxed, words_column
 
 
 @dataclass(frozen=True)
@@ -140,23 +140,24 @@ def shard_counts(quotas: DataFrame, p: MixParams) -> DataFrame:
 
 
 def mix_plan(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
-    """docs with _size, _source_size, _target and _copies: an array of (epoch, shard), one entry each time the row is taken.
+    """(_row, _size, _source_size, _target, _copies): docs' columns as a struct, and an array of (epoch, shard) with one
+    entry each time the row is taken.
 
     docs: any columns with doc_id, source and text. Null text has no words; rows without words are taken 0 times. A null
     source is a source of its own, last in order. Rows that repeat doc_id and size stand or fall together; a null doc_id
     is a value like any other. An empty table gives an empty result.
     """
     p = params
-    rows = docs.withColumn("_size", words_column(F.col("text")))
-    targets = source_targets(rows.select("source", F.col("_size").alias("size")), p)
+    rows = boxed(docs, _doc=F.col("doc_id").cast("long"), _from=F.col("source").cast("string"), _size=words_column(F.col("text")))
+    targets = source_targets(rows.select(F.col("_from").alias("source"), F.col("_size").alias("size")), p)
     renamed = targets.select(F.col("source").alias("_source"), F.col("sid").alias("_sid"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("blocks").alias("_blocks"))
 
     def placed(frame: DataFrame) -> DataFrame:
-        joined = frame.join(renamed, frame["source"].eqNullSafe(renamed["_source"])).drop("_source")
-        return joined.withColumn("_block", F.pmod(F.xxhash64(F.lit(p.seed), F.col("doc_id").cast("long"), "_size"), "_blocks").cast("int"))
+        joined = frame.join(renamed, frame["_from"].eqNullSafe(renamed["_source"])).drop("_source")
+        return joined.withColumn("_block", F.pmod(F.xxhash64(F.lit(p.seed), "_doc", "_size"), "_blocks").cast("int"))
 
-    slim = placed(rows.select("doc_id", "source", "_size")).where("_size > 0")
-    unit = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("_size").alias("size"))
+    slim = placed(rows.select("_doc", "_from", "_size")).where("_size > 0")
+    unit = F.struct(F.col("_doc").alias("doc_id"), F.col("_size").alias("size"))
     units = slim.groupBy(F.col("_sid").alias("sid"), F.col("_block").alias("block"), unit.alias("unit")).agg(F.sum("_size").alias("words"), F.first("_target").alias("target"), F.first("_source_size").alias("source_size"))
     quotas = block_quotas(units, p)
     extra = fitted(units, quotas)
@@ -169,17 +170,16 @@ def mix_plan(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     per_block = per_block.select(F.col("sid").alias("_sid"), F.col("block").alias("_block"), copies.alias("_draws"), "whole", F.col("rest").isNotNull().alias("_open"))
     out = placed(rows).join(per_block, ["_sid", "_block"], "left")
     chosen = extra.select(F.col("sid").alias("_s"), F.col("block").alias("_b"), F.col("unit.doc_id").alias("_d"), F.col("unit.size").alias("_z"), F.lit(True).alias("_more"))
-    out = out.join(chosen, (F.col("_s") == F.col("_sid")) & (F.col("_b") == F.col("_block")) & F.col("_d").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("_z") == F.col("_size")), "left")
+    out = out.join(chosen, (F.col("_s") == F.col("_sid")) & (F.col("_b") == F.col("_block")) & F.col("_d").eqNullSafe(F.col("_doc")) & (F.col("_z") == F.col("_size")), "left")
     taken = F.when(F.col("_open") & F.col("_more").isNull(), F.slice("_draws", F.lit(1), F.greatest(F.col("whole"), F.lit(0)))).otherwise(F.col("_draws"))
     none = F.array().cast("array<struct<epoch:int,shard:int>>")
     out = out.withColumn("_copies", F.when(F.col("_size") > 0, F.coalesce(taken.cast("array<struct<epoch:int,shard:int>>"), none)).otherwise(none))
-    return out.drop("_sid", "_block", "_blocks", "_draws", "whole", "_open", "_s", "_b", "_d", "_z", "_more")
+    return out.select("_row", "_size", "_source_size", "_target", "_copies")
 
 
 def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """The mixed rows themselves: docs' columns, a row each time one is taken, dealt out by shard and shuffled locally."""
-    columns = docs.columns
     taken = mix_plan(docs, params).withColumn("_copy", F.explode("_copies"))
-    keyed = taken.withColumn("_shard", F.col("_copy.shard")).withColumn("_place", draw_key(params, "_copy.epoch", F.col("doc_id").cast("long"), F.col("_size"), F.lit("place")))
+    keyed = taken.withColumn("_shard", F.col("_copy.shard")).withColumn("_place", draw_key(params, "_copy.epoch", F.col("_row.doc_id").cast("long"), F.col("_size"), F.lit("place")))
     part = F.pmod(F.col("_place"), F.lit(1024))  # a shard is written by several tasks where it is large
-    return keyed.repartition("_shard", part).sortWithinPartitions("_shard", "_place").select(*(f"`{c}`" for c in columns))
+    return keyed.repartition("_shard", part).sortWithinPartitions("_shard", "_place").select("_row.*")

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodevec.llm.common import boxed
 from lodevec.llm.matches import sql_text
 
 #: The kinds and their patterns, in the order in which they are tried at a place.
@@ -172,7 +173,7 @@ MAKERS = {"email": email_sql, "iban": iban_sql, "date": date_sql, "ip": ip_sql,
 
 
 def pseudonymised(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
-    """docs with text rewritten and _found, an array of structs (kind, pseudonym), in text order.
+    """docs with text rewritten, and pii_found, an array of structs (kind, pseudonym), in text order.
 
     Null texts stay null and have nothing found; empty texts stay empty. A match that isn't valid of its kind stays as
     it is and isn't counted. Rows are rewritten one by one; repeated rows, null keys and other columns stay.
@@ -182,17 +183,17 @@ def pseudonymised(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame
     kind = "case " + " ".join(f"when h rlike {whole[k]} then '{k}'" for k in PATTERNS) + " end"
     maker = "case z.k " + " ".join(f"when '{k}' then {MAKERS[k]('z.h', params)}" for k in PATTERNS) + " end"
     # Texts without a match are searched once and stay as they are.
-    rows = docs.withColumn("_has", F.expr(f"coalesce(text rlike {pattern}, false)"))
-    hits = rows.withColumn("_hits", F.expr(f"if(_has, transform(regexp_extract_all(text, {pattern}, 0), h -> named_struct('h', h, 'k', {kind})), cast(array() as array<struct<h:string,k:string>>))"))
+    rows = boxed(docs, _text=F.col("text")).withColumn("_has", F.expr(f"coalesce(_text rlike {pattern}, false)"))
+    hits = rows.withColumn("_hits", F.expr(f"if(_has, transform(regexp_extract_all(_text, {pattern}, 0), h -> named_struct('h', h, 'k', {kind})), cast(array() as array<struct<h:string,k:string>>))"))
     made = hits.withColumn("_new", F.expr(f"transform(_hits, z -> named_struct('k', z.k, 'h', z.h, 'p', {maker}))"))
-    joined = f"if(_has, array_join(zip_with(split(text, {pattern}, -1), _new, (g, m) -> concat(g, coalesce(m.p, m.h, ''))), ''), text)"
-    out = made.withColumn("text", F.expr(joined))
-    out = out.withColumn("_found", F.expr("transform(filter(_new, m -> m.p is not null), m -> named_struct('kind', m.k, 'pseudonym', m.p))"))
-    return out.drop("_has", "_hits", "_new")
+    joined = f"if(_has, array_join(zip_with(split(_text, {pattern}, -1), _new, (g, m) -> concat(g, coalesce(m.p, m.h, ''))), ''), _text)"
+    found = F.expr("transform(filter(_new, m -> m.p is not null), m -> named_struct('kind', m.k, 'pseudonym', m.p))")
+    columns = [F.expr(joined).alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns if c != "pii_found"]
+    return made.select(*columns, found.alias("pii_found"))
 
 
 def pii(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
     """doc_id, the rewritten text and the number of pseudonyms of each kind for every row of docs (doc_id, text)."""
     out = pseudonymised(docs.select("doc_id", "text"), params)
-    counts = [F.expr(f"cast(size(filter(_found, m -> m.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in PATTERNS]
+    counts = [F.expr(f"cast(size(filter(pii_found, m -> m.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in PATTERNS]
     return out.select("doc_id", "text", *counts)

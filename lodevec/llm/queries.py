@@ -60,7 +60,7 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     plan = mix_plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     taken = (F.size("_copies") * F.col("_size")).cast("long")
-    return plan.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))
+    return plan.select("_row.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

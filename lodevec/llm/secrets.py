@@ -80,7 +80,7 @@ def fit(samples: DataFrame, p: SecretParams) -> list[float]:
 
 
 def scan(docs: DataFrame, params: SecretParams = SecretParams(), samples: DataFrame | None = None) -> DataFrame:
-    """docs with _base and _spans, arrays of structs (s, k, e, v) by start, then kind.
+    """(doc_id, _base, _spans) of docs (doc_id, text): arrays of structs (s, k, e, v) by start, then kind.
 
     Null text counts as empty and has no spans. Rows are scanned one by one; repeated rows and null keys stay. A string
     that the Markov models report is dropped where it overlaps a base span. samples: (sample, label) to train from in
@@ -89,7 +89,7 @@ def scan(docs: DataFrame, params: SecretParams = SecretParams(), samples: DataFr
     p = params
     n = len(ALPHABET) + 1
     ratios = ",".join(f"{x:.4f}" for x in fit(labelled_samples(docs, p) if samples is None else samples, p))
-    rows = docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_base", F.expr(f"array_sort({base_spans('_text', p)})"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).withColumn("_base", F.expr(f"array_sort({base_spans('_text', p)})"))
     digits = f"length(x.hit) - length(translate(x.hit, '0123456789', '')) >= {p.least_digits}"
     rows = rows.withColumn("_may", F.expr(spans_sql("_text", CANDIDATE, 3, digits)))
     rows = rows.withColumn("_may", F.expr("filter(_may, m -> not exists(_base, b -> b.s < m.e and m.s < b.e))"))
@@ -106,8 +106,8 @@ def spans_text(column: str) -> str:
     return f"array_join(transform({column}, b -> concat_ws(':', element_at(array({kinds}), b.k + 1), cast(b.s as string), cast(b.e as string))), ',')"
 
 
-def secrets(docs: DataFrame, params: SecretParams = SecretParams()) -> DataFrame:
+def secrets(docs: DataFrame, params: SecretParams = SecretParams(), samples: DataFrame | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row of docs (doc_id, text)."""
-    found = scan(docs.select("doc_id", "text"), params)
+    found = scan(docs, params, samples)
     counts = [F.expr(f"cast(size(filter(_base, b -> b.k = {k})) as bigint)").alias(f"n_{KINDS[k]}") for k in range(3)]
     return found.select("doc_id", *counts, F.sha2(F.expr(spans_text("_base")), 256).alias("base_sha256"), F.expr(spans_text("_spans")).alias("spans"))
