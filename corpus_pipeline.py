@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import written
+from lodevec.llm.common import boxed, written
 from lodevec.llm.exact_dedup import DedupParams, exact_dedup, hit_filter, with_mark
 from lodevec.llm.mixing import mix
 from lodevec.llm.near_dedup import near_dedup
@@ -24,12 +24,14 @@ ORACLE_SQL = None
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, as they are."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, keep=docs.columns).where("kept").select(*docs.columns)
+    judged = score(boxed(docs, text=F.col("text")), model, keep=["_row"])
+    return judged.where("kept").select("_row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the largest doc_id."""
-    return exact_dedup(docs).where("kept").select(*docs.columns)
+    judged = exact_dedup(boxed(docs, doc_id=F.col("doc_id"), text=F.col("text")))
+    return judged.where("kept").select("_row.*")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +40,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # A filter of fixed size: texts of documents that it doesn't have stay where they are.
     params = DedupParams()
     bits = written(hit_filter(dropped.toDF("digest"), params), "filter")
-    marked = with_mark(docs.withColumn("_id", F.col("doc_id").cast("long")), "_id", bits, params)
+    marked = with_mark(boxed(docs, _id=F.col("doc_id").cast("long")), "_id", bits, params)
     sure, maybe = marked.where("not _maybe"), marked.where("_maybe")
-    return sure.unionByName(maybe.join(dropped, F.col("_id") == F.col("_dropped"), "left_anti")).select(*docs.columns)
+    return sure.unionByName(maybe.join(dropped, F.col("_id") == F.col("_dropped"), "left_anti")).select("_row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
