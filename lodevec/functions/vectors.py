@@ -29,12 +29,13 @@ def norm(v: Column) -> Column:
 
 
 def distance(metric: str, q: Column, x: Column) -> Column:
-    """Exact distance: squared L2, 1 - cosine (0 at least), or the negative inner product."""
+    """Exact distance: squared L2, 1 - cosine (0 at least; 1 from a zero vector), or the negative inner product."""
     if metric == "l2":
         return l2_squared(q, x)
     if metric == "ip":
         return -dot(q, x)
-    return F.greatest(F.lit(0.0), F.lit(1.0) - dot(q, x) / (norm(q) * norm(x)))
+    size = norm(q) * norm(x)
+    return F.when(size == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - dot(q, x) / F.nullif(size, F.lit(0.0))))
 
 
 def quantized(value: Column, most: Column, step: Column) -> Column:

@@ -46,7 +46,10 @@ def exact_distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     dots = np.zeros(len(x))
     for d in range(x.shape[1]):
         dots += q[d] * x[:, d]
-    return -dots if metric == "ip" else np.maximum(0.0, 1.0 - dots / (np.sqrt(squares(q[None]))[0] * np.sqrt(squares(x))))
+    if metric == "ip":
+        return -dots
+    size = np.sqrt(squares(q[None]))[0] * np.sqrt(squares(x))
+    return np.where(size == 0, 1.0, np.maximum(0.0, 1.0 - dots / np.where(size == 0, 1.0, size)))
 
 
 def smallest(value: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
