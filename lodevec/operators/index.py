@@ -30,6 +30,14 @@ def append_offsets(assigned: DataFrame, sizes: DataFrame) -> DataFrame:
     return assigned.withColumn("_rank", rank).join(sizes, "list_no", "left").withColumn("offset", (F.coalesce("size", F.lit(0)) + F.col("_rank") - 1).cast("long")).drop("_rank", "size")
 
 
+def append_pages(sizes: DataFrame, per_page: int) -> DataFrame:
+    """(list_no, pages_read, pages_written) of an append, from (list_no, old, added): a page that is filled in part is
+    read and written again. Lists without new rows get no row."""
+    again = F.when(F.col("old") % per_page != 0, 1).otherwise(0)
+    more = F.ceil((F.col("old") + F.col("added")) / per_page) - F.ceil(F.col("old") / per_page)
+    return sizes.where("added > 0").select("list_no", again.cast("long").alias("pages_read"), (more + again).cast("long").alias("pages_written"))
+
+
 def swap_plan(deleted: DataFrame, rows: DataFrame) -> DataFrame:
     """(list_no, id, from_offset, to_offset): which rows move so that lists stay dense. deleted and rows: (list_no,
     offset, id). The holes below the new size, upwards, take the surviving rows above it, downwards."""

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodevec.plans.config import IndexConfig, need
-from lodevec.plans.grouping import layout
+from lodevec.plans.grouping import bit_budgets, layout
 
 TINY = 1e-12
 CODES = 16
@@ -163,10 +163,19 @@ class Quantizer:
         offset = products(q, self.mean) if c.metric == "ip" and c.centering == "mean" else np.zeros(len(q))
         return {"norm": size, "offset": offset, "table": table}
 
-    def estimates(self, query: dict[str, np.ndarray], i: int, codes: np.ndarray, metadata) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated distances to query i, and uncertainties: a statistical scale, not a bound."""
+    def distance_table(self, q: np.ndarray) -> np.ndarray:
+        """Squared distances of each query's parts to the codewords, queries x groups x 16."""
+        turned = q @ self.rotation.T if self.rotation is not None else q
+        return np.stack([squares(turned[:, None, dims] - book[None]) for dims, book in zip(self.dims, self.codebooks)], 1)
+
+    def estimates(self, query: dict[str, np.ndarray], i: int, codes: np.ndarray, metadata, lut: str = "exact") -> tuple[np.ndarray, np.ndarray]:
+        """Estimated distances to query i, and uncertainties: a statistical scale, not a bound. lut uint8: the table of
+        dot products is rounded to bytes first, less each row's least value, on one scale for all rows."""
         norm, scale, error, open_ = metadata
         table, size = query["table"][i], query["norm"][i]
+        least, span = table.min(1), float((table.max(1) - table.min(1)).max())
+        if lut == "uint8" and span > 1e-20:
+            table = np.floor((table - least[:, None]) * (255 / span) + 0.5) * (span / 255) + least[:, None]
         dot = np.zeros(len(codes))
         for m in range(codes.shape[1]):
             dot += table[m][codes[:, m]]
@@ -279,6 +288,14 @@ def metadata_ranges(vectors: DataFrame, model: Quantizer) -> DataFrame:
     return vectors.select("embedding").mapInArrow(run, "norm_max double, scale_max double").agg(F.max("norm_max").alias("norm_max"), F.max("scale_max").alias("scale_max"))
 
 
+def layout_frame(vectors: DataFrame, model: Quantizer) -> DataFrame:
+    """(group, dimension, bits): the layout, with each dimension's share of bits by the variance of unit directions."""
+    _, unit = model.directions(training_rows(vectors, model.config))
+    bits = bit_budgets(unit.var(0), model.config.groups)
+    rows = [(g, int(d), float(bits[d])) for g, dims in enumerate(model.dims) for d in dims]
+    return vectors.sparkSession.createDataFrame(rows, "group int, dimension int, bits double")
+
+
 def packed(codes: np.ndarray) -> np.ndarray:
     """Two codes a byte: the even group in the low half."""
     return (codes[:, 0::2] | (codes[:, 1::2] << 4)).astype(np.uint8)

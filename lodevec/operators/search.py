@@ -130,7 +130,7 @@ def _scan(postings: DataFrame, model: Quantizer, block: QueryBlock, probes: dict
                 rows = np.flatnonzero(lists == list_no)
                 own = codes[rows], [x[rows] for x in meta]
                 for i, begin in wanted.get(int(list_no), ()):
-                    est, unc = model.estimates(query, i, *own)
+                    est, unc = model.estimates(query, i, *own, params.lut if params else "exact")
                     token = begin + offsets[rows]
                     found = np.rec.fromarrays([np.full(len(rows), block.qid[i]), lists[rows].astype(np.int32), offsets[rows], token, est, unc], names="qid,list_no,offset,token,est,unc")
                     if theta is not None:

@@ -79,15 +79,18 @@ class IndexConfig:
 @dataclass(frozen=True)
 class SearchParams:
     """k: neighbours; nprobe: lists probed; z: width of the interval in uncertainties; limit: most candidates refined,
-    0 for all that the interval leaves; query_block: queries answered in one pass."""
+    0 for all that the interval leaves; query_block: queries answered in one pass; lut: exact, or uint8 for dot products
+    rounded to bytes."""
 
     k: int = 10
     nprobe: int = 4
     z: float = 1.0
     limit: int = 100
     query_block: int = 2_048
+    lut: str = "exact"
 
     def __post_init__(self):
+        need(self.lut in ("exact", "uint8"), f"unknown lut {self.lut}")
         need(self.k > 0, "k must be positive")
         need(self.nprobe > 0, "nprobe must be positive")
         need(math.isfinite(self.z) and self.z >= 0, "z must be finite and not negative")

@@ -156,6 +156,21 @@ def dot_lut(spark, sf_dir):
     return rounded(spark.createDataFrame(rows, "qid long, m int, c int, dot double"), "dot")
 
 
+def l2_lut(spark, sf_dir):
+    e = vectors(spark, sf_dir)
+    model = quantizer.train(e, config())
+    blocks = search.query_blocks(asked(e), D, 2048)
+    rows = [(int(b.qid[i]), m, c, float(t[i, m, c])) for b in blocks for t in [model.distance_table(b.qv)] for i in range(len(b.qid)) for m in range(M) for c in range(16)]
+    return rounded(spark.createDataFrame(rows, "qid long, m int, c int, distance double"), "distance")
+
+
+def append_pages(spark, sf_dir):
+    """Pages that appending the rows of odd ids touches, the others being there."""
+    odd = F.col("logical_id") % 2
+    sizes = placed(spark, sf_dir).groupBy("list_no").agg(F.sum(1 - odd).alias("old"), F.sum(odd).alias("added"))
+    return index.append_pages(sizes, config().records_per_page)
+
+
 def all_estimates(spark, sf_dir, metric="l2") -> DataFrame:
     """All rows as one list, in order of id; token is the place in it."""
     e, model, rows = coded(spark, sf_dir, metric)
@@ -333,6 +348,8 @@ QUERIES = {
     "metric_ranges_l2": metric_ranges("l2"),
     "metric_ranges_cosine": metric_ranges("cosine"),
     "dot_lut": dot_lut,
+    "l2_lut": l2_lut,
+    "append_pages": append_pages,
     "scan_estimates_l2": scan_estimates("l2"),
     "scan_estimates_ip": scan_estimates("ip"),
     "scan_estimates_cosine": scan_estimates("cosine"),
@@ -373,6 +390,9 @@ SQL = {
     "metric_ranges_l2": _close(_E + _pq(), _RANGES),
     "metric_ranges_cosine": _close(_E + _pq("cosine"), _RANGES),
     "dot_lut": _close(_E + _pq(), f"SELECT a.qid, m::INTEGER AS m, b.c::INTEGER AS c, round({_sum('a.v[4 * m + i] * b.u[4 * m + i]', 4)}, 6) + 0.0 AS dot FROM q a, range({M}) t(m), book b"),
+    "l2_lut": _close(_E + _pq(), f"SELECT a.qid, m::INTEGER AS m, b.c::INTEGER AS c, round({_sum('(a.v[4 * m + i] - b.u[4 * m + i]) * (a.v[4 * m + i] - b.u[4 * m + i])', 4)}, 6) + 0.0 AS distance FROM q a, range({M}) t(m), book b"),
+    "append_pages": _close(_E + _IVF, f""", s AS (SELECT list_no, count(*) FILTER (logical_id % 2 = 0) AS old, count(*) FILTER (logical_id % 2 = 1) AS added FROM place GROUP BY list_no)
+        SELECT list_no, (old % {_PER_PAGE} <> 0)::BIGINT AS pages_read, (ceil((old + added) / {_PER_PAGE}) - ceil(old / {_PER_PAGE}))::BIGINT + (old % {_PER_PAGE} <> 0)::BIGINT AS pages_written FROM s WHERE added > 0"""),
     "scan_estimates_l2": _close(_E + _pq() + _est("l2"), _EST_OUT),
     "scan_estimates_ip": _close(_E + _pq("ip") + _est("ip"), _EST_OUT),
     "scan_estimates_cosine": _close(_E + _pq("cosine") + _est("cosine"), _EST_OUT),

@@ -47,9 +47,11 @@ class VecsReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         n = self.shape()[0]
-        return [Rows(at, min(self.per, n - at)) for at in range(0, n, self.per)]
+        return [Rows(at, min(self.per, n - at)) for at in range(0, n, self.per)] or [Rows(0, 0)]
 
     def read(self, partition: Rows):
+        if not partition.count:
+            return
         _, d, width = self.shape()
         number = np.dtype(KINDS[self.kind][0])
         with self.open() as file:

@@ -117,6 +117,17 @@ def test_codes_pack_and_decode(e, rows):
     assert norm_c[0] == 0 and scale_c[0] == 0
 
 
+def test_rounded_tables_stay_near(e, rows):
+    model = quantizer.train(e, IndexConfig(8, 4))
+    codes, *meta = model.encode_array(rows.astype(float))
+    query, decoded = model.query(rows[:3].astype(float)), model.decoded_metadata(*meta)
+    for i in range(3):
+        exact, rough = (model.estimates(query, i, codes, decoded, lut)[0] for lut in ("exact", "uint8"))
+        assert np.abs(exact - rough).max() < 0.05 * max(1.0, np.abs(exact).max())
+    layout = quantizer.layout_frame(e, model).collect()
+    assert sorted(r.dimension for r in layout) == list(range(8)) and abs(sum(r.bits for r in layout) - 16) < 1e-9
+
+
 def test_vectors_of_a_wrong_length_fail(spark, e):
     with pytest.raises(Exception, match="vectors must have"):
         quantizer.train(e.union(spark.createDataFrame([(900, [1.0])], "id long, embedding array<float>")), IndexConfig(8, 4))
