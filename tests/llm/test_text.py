@@ -20,7 +20,7 @@ DOCS = "doc_id long, text string, lang string, kept string"
 
 
 def test_small_tables_match_sql(same_as_sql):
-    for name in ("op4_chat_formatting", "op9_exact_dedup", "op10_warc"):
+    for name in ("op3_near_dedup", "op4_chat_formatting", "op9_exact_dedup", "op10_warc"):
         same_as_sql(queries.QUERIES[name], queries.SQL[name])
 
 
