@@ -8,8 +8,9 @@ pairs that may reach the threshold are confirmed on the full sets.
 
 How the pairs of a bucket stay few: texts with equal sets count once; every member of a bucket is first tried against
 the bucket's smallest id alone, and the links found are contracted to components. Only buckets that still hold several
-components are searched again, in blocks of bounded size, for pairs between different components. So no bucket is
-expanded into all its pairs, and no candidate is dropped.
+components are searched again, in blocks of bounded size, for pairs between different components; around a large
+component the blocks hold full sets and only links come out. So no bucket is expanded into all its pairs, and no
+candidate is dropped.
 """
 
 from __future__ import annotations
@@ -157,12 +158,11 @@ def likely(pairs: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, params: NearParams, paths: list[str]) -> DataFrame:
-    """The pairs (a, b) that are links on their full sets, which are made again from the whole texts of their
-    documents. A filter of fixed size over the ids keeps other documents' texts where they are."""
-    spark = docs.sparkSession
+def full_sets(ids: DataFrame, docs: DataFrame, params: NearParams, paths: list[str]) -> DataFrame:
+    """(id, s): full sets of at least the documents named, made again from their whole texts. A filter of fixed size
+    over the ids keeps other documents' texts where they are."""
     filter_params = DedupParams(filter_bits=params.filter_bits)
-    bits = written(hit_filter(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")), filter_params), "filter", paths)
+    bits = written(hit_filter(ids.toDF("digest"), filter_params), "filter", paths)
     mine = with_mark(docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes("text").alias("_text")), "id", bits, filter_params).where("_maybe")
 
     def run(batches):
@@ -174,7 +174,12 @@ def verified(pairs: DataFrame, docs: DataFrame, params: NearParams, paths: list[
                 offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, values)], ["id", "s"])
 
-    sets = written(mine.select("id", "_text").mapInArrow(run, "id long, s array<long>"), "sets", paths)
+    return written(mine.select("id", "_text").mapInArrow(run, "id long, s array<long>"), "sets", paths)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, params: NearParams, paths: list[str]) -> DataFrame:
+    """The pairs (a, b) that are links on their full sets."""
+    sets = full_sets(pairs.select("a").union(pairs.select("b")), docs, params, paths)
     first = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a")
     both = first.join(sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
@@ -182,38 +187,50 @@ def verified(pairs: DataFrame, docs: DataFrame, params: NearParams, paths: list[
     return counted.where((F.col("common") * 100 >= (F.col("total") - F.col("common")) * params.percent)).select("a", "b").distinct()
 
 
-def between(members: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
-    """Candidate pairs (a, b) of a bucket whose components differ. members: (key, id, n, component).
+def cells(rows: DataFrame, group: str, block: int, *columns: str) -> DataFrame:
+    """(kind, i, j, rows): what meets in one go. rows: (group, id, component, is_main, mb, ob) and further columns.
 
-    A bucket's members of its most frequent component stand on one side, all others on the other; both are dealt into
-    blocks. Blocks of the first side meet those of the second, and those of the second meet each other. A task sees
-    two blocks at a time and returns only pairs whose estimate may reach the threshold.
+    A group's rows of its main component stand on one side, all others on the other; mb and ob are their numbers of
+    blocks. Blocks of the first side meet those of the second (kind m), and those of the second meet each other
+    (kind o). rows: structs of id, component, side and the columns.
     """
-    by_part = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    stats = by_part.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("c_main"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    rows = members.join(stats, "key").join(reps.select("id", "regs"), "id")
-    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / params.block)).cast("int")
-    rows = rows.withColumn("is_main", F.col("component") == F.col("main")).withColumn("mb", blocks(F.col("c_main"))).withColumn("ob", blocks(F.col("c") - F.col("c_main")))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mb")).otherwise(F.col("ob"))).cast("int"))
-    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
     mine = F.col("mine")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mb")).otherwise(F.col("ob"))).cast("int"))
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), (F.lit(side) if isinstance(side, int) else side).alias("side"))
     to_others = F.transform(F.sequence(F.lit(0), F.col("ob") - 1), lambda j: cell("m", mine, j, 0))
     to_main = F.transform(F.sequence(F.lit(0), F.col("mb") - 1), lambda i: cell("m", i, mine, 1))
-    among = F.transform(F.sequence(F.lit(0), F.col("ob") - 1), lambda j: F.struct(F.lit("o").alias("kind"), F.least(mine, j).cast("int").alias("i"), F.greatest(mine, j).cast("int").alias("j"), F.when(mine <= j, 0).otherwise(1).alias("side")))
-    rows = rows.withColumn("cell", F.explode(F.when(F.col("is_main"), to_others).otherwise(F.concat(to_main, among))))
-    groups = rows.groupBy("key", "cell.kind", "cell.i", "cell.j").agg(F.collect_list(F.struct("id", "n", "component", "cell.side", "regs")).alias("rows")).where(F.size("rows") > 1)
+    among = F.transform(F.sequence(F.lit(0), F.col("ob") - 1), lambda j: cell("o", F.least(mine, j), F.greatest(mine, j), F.when(mine <= j, 0).otherwise(1)))
+    dealt = rows.withColumn("cell", F.explode(F.when(F.col("is_main"), to_others).otherwise(F.concat(to_main, among))))
+    held = F.collect_list(F.struct("id", "component", "cell.side", *columns)).alias("rows")
+    return dealt.groupBy(group, "cell.kind", "cell.i", "cell.j").agg(held).where(F.size("rows") > 1).select("kind", "i", "j", "rows")
+
+
+def sides(batch: pa.RecordBatch, g: int, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The places of a cell's two sides, and whether they are one block that meets itself."""
+    one = batch.column(0)[g].as_py() == "o" and batch.column(1)[g].as_py() == batch.column(2)[g].as_py()
+    return (np.arange(len(side)),) * 2 + (True,) if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1), False)
+
+
+def pairs_batch(a_out: list[np.ndarray], b_out: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = (np.concatenate(z).astype(np.int64) if z else np.zeros(0, np.int64) for z in (a_out, b_out))
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def between(rows: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
+    """Candidate pairs (a, b) of different components in one bucket, by their estimate. A task sees two blocks at a time
+    and returns only pairs that may reach the threshold."""
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / params.block)).cast("int")
+    rows = rows.join(reps.select("id", "regs"), "id").withColumn("mb", blocks(F.col("c_main"))).withColumn("ob", blocks(F.col("c") - F.col("c_main")))
 
     def run(batches):
         sketcher = Sketcher(params)
         for batch in batches:
             a_out, b_out = [], []
-            kinds, i_s, j_s = (batch.column(k).to_pylist() for k in range(3))
             for g in range(len(batch)):
                 r = batch.column(3)[g].values
-                ids, n, part, side = (r.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                ids, part, side, n = (r.field(k).to_numpy(zero_copy_only=False) for k in range(4))
                 regs = binary_matrix(r.field(4), params.registers)
-                one = kinds[g] == "o" and i_s[g] == j_s[g]
-                left, right = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+                left, right, one = sides(batch, g, side)
                 for x in left:
                     y = right[right > x] if one else right
                     y = y[(part[y] != part[x]) & (ids[y] != ids[x]) & (100 * np.minimum(n[y], n[x]) >= params.percent * np.maximum(n[y], n[x]))]
@@ -222,10 +239,53 @@ def between(members: DataFrame, reps: DataFrame, params: NearParams) -> DataFram
                         y = y[j >= params.percent / 100 - params.slack]
                         a_out.append(np.minimum(ids[x], ids[y]))
                         b_out.append(np.maximum(ids[x], ids[y]))
-            a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a_out, b_out))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield pairs_batch(a_out, b_out)
+
+    return cells(rows, "key", params.block, "n", "regs").mapInArrow(run, "a long, b long").distinct()
+
+
+def around_large(rows: DataFrame, docs: DataFrame, params: NearParams, paths: list[str]) -> DataFrame:
+    """Links (a, b) between a large component and what shares buckets with it, and among the latter.
+
+    Here almost any estimate is near the threshold, so the full sets meet, block by block, once for all the buckets; a
+    row returns one link for each component that it is linked to.
+    """
+    hot = written(rows.select(F.col("main").alias("group"), "id", "component", (F.col("component") == F.col("main")).alias("is_main")).distinct(), "hot", paths)
+    if hot.isEmpty():
+        return hot.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    per = lambda x: F.greatest(F.lit(1), F.ceil(F.sum(x.cast("int")) / (2 * params.block))).cast("int")
+    blocks = hot.groupBy("group").agg(per(F.col("is_main")).alias("mb"), per(~F.col("is_main")).alias("ob"))
+    sets = full_sets(hot.select("id").distinct(), docs, params, paths)
+    held = hot.join(blocks, "group").join(sets, "id")
 
-    return groups.select("kind", "i", "j", "rows").mapInArrow(run, "a long, b long").distinct()
+    def run(batches):
+        for batch in batches:
+            a_out, b_out = [], []
+            for g in range(len(batch)):
+                r = batch.column(3)[g].values
+                ids, part, side = (r.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                lists = r.field(3)
+                ends = lists.offsets.to_numpy()
+                values = lists.values.to_numpy()
+                sets = [values[lo:hi] for lo, hi in zip(ends[:-1], ends[1:])]
+                size = np.diff(ends)
+                left, right, _ = sides(batch, g, side)
+                shingle, owner = np.concatenate([sets[x] for x in left]), np.repeat(left, size[left])
+                order = np.argsort(shingle, kind="stable")
+                shingle, owner = shingle[order], owner[order]
+                for y in right:
+                    lo, hi = np.searchsorted(shingle, sets[y], "left"), np.searchsorted(shingle, sets[y], "right")
+                    n = hi - lo
+                    at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                    common = np.bincount(owner[at], minlength=len(ids))[left]
+                    good = (100 * common >= params.percent * (size[left] + size[y] - common)) & (part[left] != part[y]) & (ids[left] != ids[y])
+                    x = left[good]
+                    _, first = np.unique(part[x], return_index=True)
+                    a_out.append(np.minimum(ids[x[first]], ids[y]))
+                    b_out.append(np.maximum(ids[x[first]], ids[y]))
+            yield pairs_batch(a_out, b_out)
+
+    return cells(held, "group", params.block, "s").mapInArrow(run, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
@@ -252,11 +312,16 @@ def near_dedup(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     links = written(verified(tried, docs, params, paths), "links", paths)
     parts = components(links, paths)
     rest = members.join(parts, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    more = written(between(rest, reps, params).join(tried, ["a", "b"], "left_anti"), "more", paths)
-    if not more.isEmpty():
-        # The links found so far are held by their components.
-        links = written(links.union(verified(more, docs, params, paths)), "links", paths)
-        parts = components(parts.select("id", "component").union(links), paths)
+    by_part = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    stats = by_part.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("c_main"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    large = parts.groupBy("component").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") > params.block).select(F.col("component").alias("main"), F.lit(True).alias("wide"))
+    stats = stats.join(large, "main", "left").withColumn("wide", F.coalesce("wide", F.col("c") > params.block))
+    open_rows = written(rest.join(stats, "key").withColumn("is_main", F.col("component") == F.col("main")), "open", paths)
+    more = written(between(open_rows.where("not wide"), reps, params).join(tried, ["a", "b"], "left_anti"), "more", paths)
+    more = verified(more, docs, params, paths).union(around_large(open_rows.where("wide"), docs, params, paths))
+    # The links found before are held by their components.
+    links = written(links.union(more), "links", paths)
+    parts = components(parts.select("id", "component").union(links), paths)
     found = sketch.select("id", "n", "digest").join(reps.select("digest", F.col("id").alias("rep")), "digest", "left")
     # A row whose set is some other row's as well belongs to the representative; its id may have links under other texts.
     same = found.where("rep is not null and id is not null and id <> rep").select("id", "rep").distinct()
@@ -266,7 +331,7 @@ def near_dedup(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
         parts = components(links, paths)
         found = found.withColumn("rep", F.col("id"))
     out = found.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
     keep: list[str] = []
     out = written(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near", keep)
     drop_paths(spark, paths)
