@@ -67,6 +67,18 @@ def words_column(column: Column) -> Column:
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def hashed_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most so many rows, those with the smallest hashed keys, so the choice doesn't depend on partitions.
+
+    Rows are first thinned by their hash to about twice that number in all, so what meets in one task to be ranked
+    doesn't grow with the table or with its number of partitions.
+    """
+    n = rows.count()
+    spread = F.pmod(F.xxhash64(F.col(key), F.lit(23)), F.lit(1 << 30))
+    thin = rows.where(spread < int(min(1.0, 2 * most / max(n, 1)) * (1 << 30))) if n > 2 * most else rows
+    return thin.orderBy(spread, key).limit(most)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of x reaches every bit of the result."""
     x = x ^ (x >> np.uint64(32))

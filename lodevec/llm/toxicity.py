@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import buffers, gram_codes, text_bytes
+from lodevec.llm.common import buffers, gram_codes, hashed_sample, text_bytes
 
 
 @dataclass(frozen=True)
@@ -79,7 +79,7 @@ class ToxicModel:
 def labelled(docs: DataFrame, labels: DataFrame, p: ToxicParams) -> DataFrame:
     """(text bytes, toxic) of at most max_rows labelled rows outside the held-out fold; the ids' side is broadcast."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), "toxic").where(~held_out(F.col("_id"), p))
-    known = known.groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(p.max_rows)
+    known = hashed_sample(known.groupBy("_id").agg(F.max("toxic").alias("toxic")), "_id", p.max_rows)
     return docs.select("doc_id", text_bytes("text").alias("_text")).join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("_text", "toxic")
 
 
