@@ -230,8 +230,14 @@ def moments(vectors: DataFrame, dimension: int) -> tuple[int, np.ndarray, np.nda
 
 def training_rows(vectors: DataFrame, config: IndexConfig) -> np.ndarray:
     """The first max_train_rows vectors by hashed id (by id for first_rows), on the driver."""
-    order = [F.col("id")] if config.init == "first_rows" else [F.xxhash64("id"), F.col("id")]
-    rows = vectors.select("id", "embedding").orderBy(*order).limit(config.max_train_rows).toArrow()
+    rows, order = vectors.select("id", "embedding"), [F.col("id")]
+    if config.init == "kmeans":
+        # Thinned first to about twice the number, so that what is ranked in one task is bounded.
+        n, order = vectors.count(), [F.xxhash64("id"), F.col("id")]
+        if n > 2 * config.max_train_rows:
+            rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(2 * config.max_train_rows / n * (1 << 30)))
+            order = [F.pmod(F.xxhash64("id"), F.lit(1 << 30)), F.col("id")]
+    rows = rows.orderBy(*order).limit(config.max_train_rows).toArrow()
     column = rows.column("embedding").combine_chunks()
     return matrix(column, config.dimension)
 
