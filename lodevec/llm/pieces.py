@@ -38,7 +38,7 @@ class PieceModel:
     types: tuple[int, ...] = field(repr=False)
     unigram: bool = False
     prefix: bool = True
-    cache: int = 600_000
+    cache: int = 400_000
 
     @staticmethod
     def load(path: str) -> PieceModel:
