@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodevec.llm.common import hashed_sample
 from lodevec.llm.matches import spans_sql, sql_text
 
 #: The kinds in their order and their patterns.
@@ -31,7 +32,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-.
 @dataclass(frozen=True)
 class SecretParams:
     """assign_chars: least length of an assigned value; random: random strings drawn for each alphabet; sample_docs:
-    texts that identifiers are taken from (those with the smallest hashed ids); smooth: pseudo-count of a pair of
+    documents that identifiers are taken from (those with the smallest hashed ids); smooth: pseudo-count of a pair of
     characters; least: least log-likelihood ratio per character; least_digits: digits that a reported string has at
     least."""
 
@@ -56,7 +57,9 @@ def labelled_samples(docs: DataFrame, p: SecretParams) -> DataFrame:
              "conv(substring(h, 1, 15), 16, 36) || lower(conv(substring(h, 16, 15), 16, 36))", "lower(conv(substring(h, 31, 15), 16, 36) || conv(substring(h, 46, 15), 16, 36))"]
     drawn = seeds.select(F.explode(F.array(*map(F.expr, forms))).alias("sample"))
     found = docs.select(F.coalesce("text", F.lit("")).alias("_text")).select(F.explode(F.expr(base_spans("_text", p))).alias("b")).select(F.col("b.v").alias("sample"))
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(p.sample_docs)
+    # Ids are chosen without their texts; only the chosen ones' texts move, one for each id.
+    ids = hashed_sample(docs.where("doc_id is not null").select(F.col("doc_id").alias("_id")), "_id", p.sample_docs).distinct()
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).where("text is not null").groupBy("_id").agg(F.min("text").alias("text")).select("text")
     plain = texts.select(F.expr(f"filter(regexp_extract_all(text, '[A-Za-z]+', 0), w -> length(w) >= 2 and not w rlike {sql_text(HEX)})").alias("w"))
     # A name of three neighbouring words, in the styles of code and of paths.
     triples = plain.where("size(w) >= 3").select(F.explode(F.expr("transform(sequence(1, cast(floor(size(w) / 3) as int)), i -> slice(w, 3 * i - 2, 3))")).alias("t"))
