@@ -15,13 +15,18 @@ from lodevec.sources.store import Store, manifest_of, manifest_text
 
 
 def dense_positions(rows: DataFrame, order: str) -> DataFrame:
-    """rows with _pos, 0 to n - 1 by an order column (unique): counted in range partitions, then offset by a small table
-    of their sizes, so no task sees all rows."""
-    parts = rows.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
-    parts = parts.withColumn("_rank", F.row_number().over(W.partitionBy("_part").orderBy(order)))
-    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
+    """rows with _pos, 0 to n - 1 by an order column (unique): counted in ranges of it, then offset by a small table of
+    their sizes, so no task sees all rows. The ranges' bounds are read once from a sample: a row's range follows from its
+    value alone, and not from how a plan deals out or coalesces its partitions."""
+    parts, each = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 50
+    share = min(1.0, parts * each / max(rows.count(), 1))
+    sample = sorted(r[0] for r in rows.select(order).sample(share, 11).where(F.col(order).isNotNull()).collect())
+    bounds = F.array(*map(F.lit, sample[each::each])).cast(f"array<{rows.schema[order].dataType.simpleString()}>")
+    ranged = rows.withColumn("_part", F.size(F.filter(bounds, lambda x: x < F.col(order))))
+    ranked = ranged.withColumn("_rank", F.row_number().over(W.partitionBy("_part").orderBy(order)))
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_start"))
-    return parts.join(F.broadcast(starts), "_part").withColumn("_pos", F.col("_start") + F.col("_rank") - 1).drop("_part", "_rank", "_start")
+    return ranked.join(F.broadcast(starts), "_part").withColumn("_pos", F.col("_start") + F.col("_rank") - 1).drop("_part", "_rank", "_start")
 
 
 def append_offsets(assigned: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -7,6 +7,9 @@ is divisible by 20.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +18,7 @@ from lodevec.functions.vectors import norm
 from lodevec.operators import index, quantizer, router, search
 from lodevec.plans.config import IndexConfig, SearchParams
 
+#: The model that SQL can tell finds about half of the true neighbours; TRAINED and DEEP are the search to use.
 D, M, NLIST, K, NPROBE, LIMIT = 64, 16, 16, 10, 4, 100
 
 
@@ -250,6 +254,38 @@ def recall_at_k(spark, sf_dir):
     return rounded(search.recall(ann_search(spark, sf_dir), search.exact_knn(e, asked(e), D, K), K), "recall")
 
 
+TRAINED, DEEP = IndexConfig(D, 24, grouping="uneven", transform="pca"), SearchParams(K, 12, 1.0, 400)
+
+
+def trained(spark: SparkSession, e: DataFrame) -> index.VectorIndex:
+    """An index of all rows with k-means centroids and codebooks, in the shared folder, where its searches read it."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodevec-")
+    out = index.VectorIndex.create(spark, f"{shared.rstrip('/')}/lodevec/index-{uuid.uuid4().hex}", TRAINED).fit(e)
+    out.insert(e)
+    return out
+
+
+def trained_search(spark: SparkSession, e: DataFrame) -> DataFrame:
+    found = trained(spark, e).search(asked(e), DEEP)
+    # The index numbers rows from 0 in the order of their ids.
+    ids = index.dense_positions(e.select("id"), "id").select(F.col("_pos").alias("_place"), F.col("id").alias("vec_id"))
+    return found.join(ids, F.col("id") == F.col("_place")).select("qid", "rank", F.col("vec_id").alias("id"), "distance")
+
+
+def ann_search_trained(spark, sf_dir):
+    return rounded(trained_search(spark, vectors(spark, sf_dir)), "distance")
+
+
+def recall_at_k_trained(spark, sf_dir):
+    e = vectors(spark, sf_dir)
+    return rounded(search.recall(trained_search(spark, e), search.exact_knn(e, asked(e), D, K), K), "recall")
+
+
+def refine_pages_trained(spark, sf_dir):
+    e = vectors(spark, sf_dir)
+    return trained(spark, e).search_stats(asked(e), DEEP).select("qid", "pages", "requests")
+
+
 # SQL, in parts that build on each other. Vectors are lists of doubles summed in index order.
 def _sum(expr: str, n: int = D) -> str:
     return f"list_sum(list_transform(range(1, {n + 1}), lambda i: {expr}))"
@@ -365,6 +401,13 @@ QUERIES = {
     "recall_at_k": recall_at_k,
 }
 
+#: Queries without SQL of their own, tested against exact results.
+WHOLE = {
+    "ann_search_trained": ann_search_trained,
+    "recall_at_k_trained": recall_at_k_trained,
+    "refine_pages_trained": refine_pages_trained,
+}
+
 SQL = {
     "knn_exact_l2": _knn(_L2),
     "knn_exact_cosine": _knn(_COSINE),
