@@ -33,6 +33,8 @@ PATTERNS = {
     "phone": r"(?<![0-9(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "number": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
+#: Lengths of IBANs by country.
+IBAN_LENGTHS = "AD24AE23AL28AT20AZ28BA20BE16BG22BH22BI27BR29BY28CH21CR22CY28CZ24DE22DJ27DK18DO28EE20EG29ES24FI18FK18FO18FR27GB22GE22GI23GL18GR27GT28HN28HR21HU28IE22IL23IQ23IS26IT27JO30KW30KZ20LB28LC32LI21LT20LU20LV21LY25MC27MD24ME22MK19MN20MR27MT31MU30NI28NL18NO15OM23PK24PL28PS29PT25QA29RO24RS22RU33SA24SC31SD18SE24SI19SK24SM27SO23ST25SV28TL23TN24TR26UA29VA22VG24XK20YE30"
 #: Days of the 400 years of the calendar's cycle, 189 * 773, from this day on.
 FIRST_DAY, CYCLE_A, CYCLE_B = "1700-01-01", 189, 773
 
@@ -169,6 +171,32 @@ def email_sql(h: str, p: PiiParams) -> str:
     return f"concat({dealt}, substring({h}, length({local}) + 1))"
 
 
+def iban_extent(h: str) -> str:
+    """SQL: how many characters of a match are the IBAN: its country's length if the check digits are right there, or
+    else the whole match; for a country not listed the longest of the right ones. Null if there is none."""
+    part = f"substring({h}, 1, i)"
+    right = f"{let('v', f'replace({part}, {chr(39)} {chr(39)}, {chr(39)}{chr(39)})', iban_mod('concat(substring(v, 5), substring(v, 1, 4))'))} = 1"
+    at = f"instr('{IBAN_LENGTHS}', substring({h}, 1, 2))"
+    known = f"if({at} > 0, cast(substring('{IBAN_LENGTHS}', {at} + 2, 2) as int), 0)"
+    ends = f"filter(sequence(15, length({h})), i -> (i = length({h}) or substring({h}, i + 1, 1) = ' ') and {right})"
+    own = f"array_max(filter(e, i -> length(replace({part}, ' ', '')) = n))"
+    return let("n", known, let("e", ends, f"coalesce({own}, array_max(filter(e, i -> n = 0 or i = length({h}))))"))
+
+
+def number_extent(h: str) -> str:
+    """SQL: how many characters of a match are the number: up to an end where the check digit is right, at the usual
+    length of such a card if it is right there, or else the longest. If none is, but one that starts later in the match
+    has a right one, null; if none has, the whole match."""
+    part = f"substring({h}, s, i - s + 1)"
+    right = let("v", digits_of(part), f"length(v) between 13 and 19 and pmod(cast(substring(v, -1, 1) as int) + {luhn_sum('substring(v, 1, length(v) - 1)').replace('(s, i)', '(t, j)').replace(', i, 1', ', j, 1').replace('- i + 1', '- j + 1').replace('s + if', 't + if')}, 10) = 0")
+    ends = f"filter(sequence(13, length({h})), i -> (i = length({h}) or substring({h}, i + 1, 1) in (' ', '-')) and i - s >= 12 and {right})"
+    starts = f"filter(sequence(1, length({h}) - 12), s -> s = 1 or substring({h}, s - 1, 1) in (' ', '-'))"
+    usual = f"case when {h} rlike '^3[ -]?[47]' then 15 when {h} rlike '^(?:4|5[ -]?[1-5]|2[ -]?[2-7]|6[ -]?[045])' then 16 else 0 end"
+    own = f"array_max(filter(e[0], i -> length({digits_of(f'substring({h}, 1, i)')}) = {usual}))"
+    return let("e", f"transform({starts}, s -> {ends})", f"coalesce({own}, array_max(e[0]), if(exists(e, x -> size(x) > 0), null, length({h})))")
+
+
+EXTENTS = {"iban": iban_extent, "number": number_extent}
 MAKERS = {"email": email_sql, "iban": iban_sql, "date": date_sql, "ip": ip_sql, "ssn": ssn_sql, "phone": phone_sql, "number": number_sql}
 
 
@@ -176,18 +204,30 @@ def pseudonymised(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame
     """docs with text rewritten, and pii_found, an array of structs (kind, pseudonym), in text order.
 
     Null texts stay null and have nothing found; empty texts stay empty. A match that isn't valid of its kind stays as
-    it is and isn't counted. Rows are rewritten one by one; repeated rows, null keys and other columns stay.
+    it is and isn't counted; the search goes on at the next place where one starts, inside it too, and after a valid one
+    where that ends. Rows are rewritten one by one; repeated rows, null keys and other columns stay.
     """
-    pattern = sql_text("|".join(PATTERNS.values()))
+    either = "|".join(PATTERNS.values())
+    pattern, starts, ahead = sql_text(either), sql_text(f"(?={either})"), sql_text(f"(?=({either}))")
     whole = {k: sql_text(f"^(?:{v})$") for k, v in PATTERNS.items()}
     kind = "case " + " ".join(f"when h rlike {whole[k]} then '{k}'" for k in PATTERNS) + " end"
+    extent = "case z.k " + " ".join(f"when '{k}' then {EXTENTS[k]('z.h')}" for k in EXTENTS) + " else length(z.h) end"
     maker = "case z.k " + " ".join(f"when '{k}' then {MAKERS[k]('z.h', params)}" for k in PATTERNS) + " end"
-    # Texts without a match are searched once and stay as they are.
+    # Texts without a match are searched once and stay as they are. Others are cut at each place where a match starts.
     rows = boxed(docs, _text=F.col("text")).withColumn("_has", F.expr(f"coalesce(_text rlike {pattern}, false)"))
-    hits = rows.withColumn("_hits", F.expr(f"if(_has, transform(regexp_extract_all(_text, {pattern}, 0), h -> named_struct('h', h, 'k', {kind})), cast(array() as array<struct<h:string,k:string>>))"))
-    made = hits.withColumn("_new", F.expr(f"transform(_hits, z -> named_struct('k', z.k, 'h', z.h, 'p', {maker}))"))
-    joined = f"if(_has, array_join(zip_with(split(_text, {pattern}, -1), _new, (g, m) -> concat(g, coalesce(m.p, m.h, ''))), ''), _text)"
-    found = F.expr("transform(filter(_new, m -> m.p is not null), m -> named_struct('kind', m.k, 'pseudonym', m.p))")
+    hits = rows.withColumn("_hits", F.expr(f"if(_has, transform(regexp_extract_all(_text, {ahead}, 1), h -> named_struct('h', h, 'k', {kind})), cast(array() as array<struct<h:string,k:string>>))"))
+    hits = hits.withColumn("_hits", F.expr(f"transform(_hits, z -> named_struct('k', z.k, 'h', substring(z.h, 1, {extent})))"))
+    made = hits.withColumn("_new", F.expr(f"transform(_hits, z -> named_struct('k', z.k, 'n', length(z.h), 'p', {maker}))"))
+    made = made.withColumn("_cut", F.expr(f"if(_has, split(_text, {starts}, -1), array(_text))"))
+    made = made.withColumn("_gap", F.expr("size(_cut) - size(_new)"))  # 1 if no match starts the text
+    # a.left: characters of the next pieces that the last valid match has taken.
+    taken = "named_struct('left', greatest(a.left - length(x.b), 0), 'out', concat(a.out, array(substring(x.b, a.left + 1))), 'found', a.found)"
+    stays = "named_struct('left', 0, 'out', concat(a.out, array(x.b)), 'found', a.found)"
+    valid = "named_struct('left', greatest(x.m.n - length(x.b), 0), 'out', concat(a.out, array(concat(x.m.p, substring(x.b, x.m.n + 1)))), 'found', concat(a.found, array(named_struct('kind', x.m.k, 'pseudonym', x.m.p))))"
+    start = "named_struct('left', 0, 'out', slice(_cut, 1, _gap), 'found', cast(array() as array<struct<kind:string,pseudonym:string>>))"
+    made = made.withColumn("_done", F.expr(f"aggregate(zip_with(slice(_cut, _gap + 1, size(_new)), _new, (b, m) -> named_struct('b', b, 'm', m)), {start}, (a, x) -> case when a.left > 0 then {taken} when x.m.p is null then {stays} else {valid} end)"))
+    joined = "if(_has, array_join(_done.out, ''), _text)"
+    found = F.col("_done.found")
     columns = [F.expr(joined).alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns if c != "pii_found"]
     return made.select(*columns, found.alias("pii_found"))
 
