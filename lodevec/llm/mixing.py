@@ -2,7 +2,7 @@
 
 Documents are hashed into blocks of their source. Every source gets an exact quota of block draws: whole epochs, then as
 many permuted blocks as fit the rest of its target; of the one block that would exceed it, documents are taken largest
-first while they fit. A binary tree then splits the vector of quotas among output shards: at each node the left half's
+first while they fit, and what is left over goes on to the blocks after it, until no document fits. A binary tree then splits the vector of quotas among output shards: at each node the left half's
 share of every source is drawn hypergeometrically from what the node holds, so each shard gets an exact number of draws
 and each source's draws sum to its quota. Shards take consecutive stretches of a source's permuted draws, which are
 disjoint, and are shuffled locally. All draws come from keyed hashes: reruns agree.
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import boxed, words_column
+from lodevec.llm.common import boxed, words_column, written
 
 
 @dataclass(frozen=True)
@@ -67,26 +67,44 @@ def block_quotas(units: DataFrame, p: MixParams) -> DataFrame:
     """(sid, block, words, rank, whole, part, rest): a row for each block.
 
     units: (sid, block, unit, words, target, source_size). whole: epochs that take all blocks; part: whether the partial
-    epoch takes this block; rest: words still to take where it is the one that would exceed the target, else null.
+    epoch takes this block; rest: words of the source still to take before this block, null where part.
     """
     blocks = units.groupBy("sid", "block").agg(F.sum("words").alias("words"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
     order = W.partitionBy("sid").orderBy(draw_key(p, "sid", "block"), "block")
     blocks = blocks.withColumn("whole", F.floor(F.col("target") / F.col("source_size")).cast("int")).withColumn("more", F.col("target") - F.col("whole") * F.col("source_size"))
     blocks = blocks.withColumn("rank", F.row_number().over(order) - 1).withColumn("upto", F.sum("words").over(order))
     blocks = blocks.withColumn("part", F.col("upto") <= F.col("more"))
-    before = F.col("upto") - F.col("words")
-    rest = F.when(~F.col("part") & (before < F.col("more")), F.col("more") - before)
-    return blocks.select("sid", "block", "words", "rank", "whole", "part", rest.alias("rest"))
+    got = F.coalesce(F.max(F.when(F.col("part"), F.col("upto"))).over(W.partitionBy("sid")), F.lit(0))
+    return blocks.select("sid", "block", "words", "rank", "whole", "part", F.when(~F.col("part"), F.col("more") - got).alias("rest"))
 
 
 def fitted(units: DataFrame, quotas: DataFrame) -> DataFrame:
-    """(sid, block, unit) of the units taken once more from blocks that would exceed their target: largest first, each
-    if it still fits. A block holds about block_words words, so its list is short."""
-    held = units.join(quotas.where("rest > 0").select("sid", "block", "rest"), ["sid", "block"])
-    lists = held.groupBy("sid", "block").agg(F.first("rest").alias("rest"), F.sort_array(F.collect_list(F.struct("words", "unit")), asc=False).alias("list"))
+    """(sid, block, unit) of the units taken once more from the blocks that the partial epoch doesn't take whole.
+
+    Blocks are gone through in permuted order. Of each all units are taken that are within what is left, or, in the one
+    where their sum isn't, largest first, each if it still fits; what is left then goes on to the blocks after it. Units
+    passed over never fit again, so a round takes up behind the last one's block; there are a few, as little is left
+    after one. The driver holds a number for each source; a list holds units of one block, about block_words words.
+    """
+    spark = units.sparkSession
+    held = written(units.join(quotas.where("rest > 0").select("sid", "block", "rank", "rest"), ["sid", "block"]).select("sid", "block", "rank", "unit", "words", "rest"), "untaken")
+    state = {r.sid: (-1, r.rest) for r in held.groupBy("sid").agg(F.first("rest").alias("rest")).collect()}
+    out = held.limit(0).select("sid", "block", "unit")
     chosen = F.expr("""aggregate(list, named_struct('left', rest, 'took', cast(array() as array<struct<doc_id:bigint,size:bigint>>)),
-        (a, x) -> if(x.words <= a.left, named_struct('left', a.left - x.words, 'took', concat(a.took, array(x.unit))), a)).took""")
-    return lists.select("sid", "block", F.explode(chosen).alias("unit"))
+        (a, x) -> if(x.words <= a.left, named_struct('left', a.left - x.words, 'took', concat(a.took, array(x.unit))), a))""")
+    while state:
+        now = spark.createDataFrame([(k, *v) for k, v in sorted(state.items())], "sid int, after int, left double")
+        fit = held.drop("rest").join(F.broadcast(now), "sid").where("rank > after and words <= left")
+        sums = fit.groupBy("sid", "rank").agg(F.sum("words").alias("sum"), F.first("left").alias("left"))
+        upto = sums.withColumn("before", F.sum("sum").over(W.partitionBy("sid").orderBy("rank")) - F.col("sum"))
+        over = upto.where("before + sum > left").groupBy("sid").agg(F.min(F.struct("rank", F.expr("left - before").alias("rest"))).alias("o"))
+        cuts = spark.createDataFrame([(r.sid, r.o["rank"], r.o["rest"]) for r in over.collect()], "sid int, cut int, rest double")
+        marked = fit.join(F.broadcast(cuts), "sid", "left")
+        lists = marked.where("rank = cut").groupBy("sid", "block").agg(F.first("cut").alias("cut"), F.first("rest").alias("rest"), F.sort_array(F.collect_list(F.struct("words", "unit")), asc=False).alias("list"))
+        some = written(lists.select("sid", "block", "cut", chosen.alias("c")).select("sid", "block", "cut", "c.left", "c.took"), "fitted")
+        out = out.union(marked.where("cut is null or rank < cut").select("sid", "block", "unit")).union(some.select("sid", "block", F.explode("took")))
+        state = {r.sid: (r.cut, r.left) for r in some.select("sid", "cut", "left").collect()}
+    return out
 
 
 #: One draw from the hypergeometric distribution by inversion: of `n` drawn from `tot` with `q` good ones, the number of
@@ -161,13 +179,16 @@ def mix_plan(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     units = slim.groupBy(F.col("_sid").alias("sid"), F.col("_block").alias("block"), unit.alias("unit")).agg(F.sum("_size").alias("words"), F.first("_target").alias("target"), F.first("_source_size").alias("source_size"))
     quotas = block_quotas(units, p)
     extra = fitted(units, quotas)
-    draws = quotas.groupBy("sid").agg((F.sum("whole") + F.sum(F.col("part").cast("int")) + F.sum(F.col("rest").isNotNull().cast("int"))).alias("quota"), F.count(F.lit(1)).alias("n"))
+    # Blocks of which some units are taken have a place in the partial epoch, after those that are taken whole.
+    quotas = quotas.join(extra.select("sid", "block", F.lit(True).alias("open")).distinct(), ["sid", "block"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    quotas = quotas.withColumn("seat", F.sum((F.col("part") | F.col("open")).cast("int")).over(W.partitionBy("sid").orderBy("rank")) - 1)
+    draws = quotas.groupBy("sid").agg((F.sum("whole") + F.sum((F.col("part") | F.col("open")).cast("int"))).alias("quota"), F.count(F.lit(1)).alias("n"))
     ends = shard_counts(draws.select("sid", "quota"), p)
-    # A draw's place: epoch by epoch, each in its block order; the block in part comes right after the whole ones.
-    epochs = F.when(F.col("part") | F.col("rest").isNotNull(), F.col("whole") + 1).otherwise(F.col("whole"))
-    copies = F.when(epochs > 0, F.transform(F.sequence(F.lit(0), epochs - 1), lambda e: F.struct(e.alias("epoch"), F.size(F.filter("ends", lambda x: x <= e * F.col("n") + F.col("rank"))).alias("shard"))))
+    # A draw's place: epoch by epoch, each in its block order; the blocks in part come right after the whole ones.
+    epochs = F.when(F.col("part") | F.col("open"), F.col("whole") + 1).otherwise(F.col("whole"))
+    copies = F.when(epochs > 0, F.transform(F.sequence(F.lit(0), epochs - 1), lambda e: F.struct(e.alias("epoch"), F.size(F.filter("ends", lambda x: x <= e * F.col("n") + F.when(e < F.col("whole"), F.col("rank")).otherwise(F.col("seat")))).alias("shard"))))
     per_block = quotas.join(draws.select("sid", "n"), "sid").join(ends, "sid")
-    per_block = per_block.select(F.col("sid").alias("_sid"), F.col("block").alias("_block"), copies.alias("_draws"), "whole", F.col("rest").isNotNull().alias("_open"))
+    per_block = per_block.select(F.col("sid").alias("_sid"), F.col("block").alias("_block"), copies.alias("_draws"), "whole", F.col("open").alias("_open"))
     out = placed(rows).join(per_block, ["_sid", "_block"], "left")
     chosen = extra.select(F.col("sid").alias("_s"), F.col("block").alias("_b"), F.col("unit.doc_id").alias("_d"), F.col("unit.size").alias("_z"), F.lit(True).alias("_more"))
     out = out.join(chosen, (F.col("_s") == F.col("_sid")) & (F.col("_b") == F.col("_block")) & F.col("_d").eqNullSafe(F.col("_doc")) & (F.col("_z") == F.col("_size")), "left")
