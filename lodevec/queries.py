@@ -286,6 +286,13 @@ def refine_pages_trained(spark, sf_dir):
     return trained(spark, e).search_stats(asked(e), DEEP).select("qid", "pages", "requests")
 
 
+def location_lookup_all(spark, sf_dir):
+    """Every id of the table, and unknown ones beyond: one and a hundredth of the rows."""
+    at = placed(spark, sf_dir).select(F.col("logical_id").alias("id"), "list_no", "offset")
+    n = vectors(spark, sf_dir).count()
+    return spark.range(0, n + 1 + n // 100).join(at, "id", "left")
+
+
 # SQL, in parts that build on each other. Vectors are lists of doubles summed in index order.
 def _sum(expr: str, n: int = D) -> str:
     return f"list_sum(list_transform(range(1, {n + 1}), lambda i: {expr}))"
@@ -406,6 +413,7 @@ WHOLE = {
     "ann_search_trained": ann_search_trained,
     "recall_at_k_trained": recall_at_k_trained,
     "refine_pages_trained": refine_pages_trained,
+    "location_lookup_all": location_lookup_all,
 }
 
 SQL = {

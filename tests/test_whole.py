@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lodevec.operators import search
 from lodevec.operators.index import dense_positions
-from lodevec.queries import D, K, WHOLE, asked, vectors
+from lodevec.queries import D, K, SQL, WHOLE, asked, vectors
 
 
 def test_trained_search_finds_the_neighbours(spark, tiny):
@@ -33,3 +33,16 @@ def test_positions_of_wide_rows_are_dense(spark):
     got = dense_positions(wide, "id")
     right = got.where("_pos = id div 3").agg(F.count(F.lit(1)), F.sum(F.size("embedding"))).first()  # reads the wide column
     assert tuple(right) == (40_000, 40_000 * 64)
+
+
+def lifted(name, *cuts):
+    """The SQL of a query without its cuts."""
+    sql = SQL[name]
+    for old, new in cuts:
+        assert old in sql
+        sql = sql.replace(old, new)
+    return sql
+
+
+def test_every_id_is_looked_up(same_as_sql):
+    same_as_sql(WHOLE["location_lookup_all"], lifted("location_lookup", ("range(0, 2000, 13)", "range((SELECT count(*) + 1 + count(*) // 100 FROM e))")))
