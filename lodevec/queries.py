@@ -293,6 +293,20 @@ def location_lookup_all(spark, sf_dir):
     return spark.range(0, n + 1 + n // 100).join(at, "id", "left")
 
 
+def token_range_join_all(spark, sf_dir):
+    """Every token of the lists that a query probes, and the list and offset that it stands for."""
+    spans = token_spans(spark, sf_dir)
+    tokens = spans.groupBy("qid").agg(F.max("end").alias("n")).select("qid", F.explode(F.expr("sequence(0L, n - 1)")).alias("token"))
+    on = (tokens.qid == spans.qid) & (F.col("token") >= F.col("begin")) & (F.col("token") < F.col("end"))
+    return tokens.join(spans, on).select(tokens.qid, "token", "list_no", (F.col("token") - F.col("begin")).alias("offset"))
+
+
+def delete_swap_plan_asked(spark, sf_dir):
+    """The plan for deleting all query vectors, those whose id is divisible by 20."""
+    rows = placed(spark, sf_dir).select("list_no", "offset", F.col("logical_id").alias("id"), "vec_id")
+    return index.swap_plan(rows.where("vec_id % 20 = 0").drop("vec_id"), rows.drop("vec_id")).withColumnRenamed("id", "moved_id")
+
+
 # SQL, in parts that build on each other. Vectors are lists of doubles summed in index order.
 def _sum(expr: str, n: int = D) -> str:
     return f"list_sum(list_transform(range(1, {n + 1}), lambda i: {expr}))"
@@ -414,6 +428,8 @@ WHOLE = {
     "recall_at_k_trained": recall_at_k_trained,
     "refine_pages_trained": refine_pages_trained,
     "location_lookup_all": location_lookup_all,
+    "token_range_join_all": token_range_join_all,
+    "delete_swap_plan_asked": delete_swap_plan_asked,
 }
 
 SQL = {

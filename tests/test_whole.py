@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lodevec.operators import search
 from lodevec.operators.index import dense_positions
-from lodevec.queries import D, K, SQL, WHOLE, asked, vectors
+from lodevec.queries import D, K, SQL, WHOLE, asked, token_spans, vectors
 
 
 def test_trained_search_finds_the_neighbours(spark, tiny):
@@ -46,3 +46,13 @@ def lifted(name, *cuts):
 
 def test_every_id_is_looked_up(same_as_sql):
     same_as_sql(WHOLE["location_lookup_all"], lifted("location_lookup", ("range(0, 2000, 13)", "range((SELECT count(*) + 1 + count(*) // 100 FROM e))")))
+
+
+def test_every_token_is_mapped(spark, tiny, same_as_sql):
+    same_as_sql(WHOLE["token_range_join_all"], lifted("token_range_join", (', max("end"), 10)', ', max("end"))')))
+    total = WHOLE["token_range_join_all"](spark, tiny).count()
+    assert total == token_spans(spark, tiny).agg(F.sum("size")).first()[0]
+
+
+def test_deletions_are_the_query_set(same_as_sql):
+    same_as_sql(WHOLE["delete_swap_plan_asked"], lifted("delete_swap_plan", ("logical_id % 7", "id % 20")))
