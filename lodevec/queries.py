@@ -307,6 +307,21 @@ def delete_swap_plan_asked(spark, sf_dir):
     return index.swap_plan(rows.where("vec_id % 20 = 0").drop("vec_id"), rows.drop("vec_id")).withColumnRenamed("id", "moved_id")
 
 
+def pq_decode_all(spark, sf_dir):
+    """All numbers of each decoded vector, a row for each dimension."""
+    _, model, rows = coded(spark, sf_dir)
+    return rounded(quantizer.decode(rows, model).select(F.col("id").alias("vec_id"), F.posexplode("embedding").alias("dim", "x")), "x")
+
+
+def mean_norm_direction_all(spark, sf_dir):
+    """Norm and whole unit direction of each centred vector, a row for each dimension."""
+    e = vectors(spark, sf_dir)
+    means = e.select(F.posexplode("embedding").alias("dim", "x")).groupBy("dim").agg(F.avg(F.col("x").cast("double")).alias("mean")).agg(F.sort_array(F.collect_list(F.struct("dim", "mean"))).alias("m"))
+    centred = e.join(F.broadcast(means)).select(F.col("id").alias("vec_id"), F.zip_with(F.col("embedding").cast("array<double>"), F.col("m.mean"), lambda x, y: x - y).alias("c"))
+    sized = centred.withColumn("norm", norm(F.col("c"))).select("vec_id", "norm", F.posexplode("c").alias("dim", "x"))
+    return rounded(sized.withColumn("x", F.when(F.col("norm") > 1e-12, F.col("x") / F.col("norm")).otherwise(0.0)), "norm", "x")
+
+
 # SQL, in parts that build on each other. Vectors are lists of doubles summed in index order.
 def _sum(expr: str, n: int = D) -> str:
     return f"list_sum(list_transform(range(1, {n + 1}), lambda i: {expr}))"
@@ -430,6 +445,8 @@ WHOLE = {
     "location_lookup_all": location_lookup_all,
     "token_range_join_all": token_range_join_all,
     "delete_swap_plan_asked": delete_swap_plan_asked,
+    "pq_decode_all": pq_decode_all,
+    "mean_norm_direction_all": mean_norm_direction_all,
 }
 
 SQL = {

@@ -56,3 +56,11 @@ def test_every_token_is_mapped(spark, tiny, same_as_sql):
 
 def test_deletions_are_the_query_set(same_as_sql):
     same_as_sql(WHOLE["delete_swap_plan_asked"], lifted("delete_swap_plan", ("logical_id % 7", "id % 20")))
+
+
+def test_all_coordinates_are_compared(same_as_sql):
+    firsts = SQL["pq_decode"][SQL["pq_decode"].index("round(r[1]") : SQL["pq_decode"].index(" FROM dec", SQL["pq_decode"].index("round(r[1]"))]
+    same_as_sql(WHOLE["pq_decode_all"], lifted("pq_decode", (firsts, "d::INTEGER AS dim, round(r[d + 1] * sd, 6) + 0.0 AS x"), (" FROM dec", f" FROM dec, range({D}) t(d)")))
+    first = "round(CASE WHEN n > 1e-12 THEN c[1] / n ELSE 0 END, 6) + 0.0 AS first_component FROM n"
+    every = f"d::INTEGER AS dim, round(CASE WHEN n > 1e-12 THEN c[d + 1] / n ELSE 0 END, 6) + 0.0 AS x FROM n, range({D}) t(d)"
+    same_as_sql(WHOLE["mean_norm_direction_all"], lifted("mean_norm_direction", (first, every)))
