@@ -3,9 +3,11 @@
 import base64
 import hashlib
 import io
+import itertools
 import random
 import re
 import zlib
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -167,16 +169,17 @@ def toy_unigram():
 @given(st.text(st.sampled_from("abc x"), max_size=9))
 def test_unigram_pass_finds_the_best_split(text):
     coder = pieces.PieceCoder(toy_unigram())
-    marked = "▁" + text.replace(" ", "▁")
+    marked, lowest = "▁" + text.replace(" ", "▁"), coder.score[coder.missing]
 
     def best(s):
         if not s:
             return 0.0
         out = [best(s[len(p) :]) + coder.model.scores[i] for p, i in coder.ids.items() if s.startswith(p)]
-        return max(out + [best(s[1:]) + coder.lowest] * (s[0] not in coder.lone))
+        return max(out + [best(s[1:]) + lowest] * (not coder.lone[ord(s[0])]))
 
     ids = coder.encode(text)
-    mine = sum(coder.model.scores[i] if i else coder.lowest for i in ids)
+    assert ids == list(coder.alone(marked)) * bool(text)  # the same pass over one long cut
+    mine = sum(coder.model.scores[i] if i else lowest for i in ids)
     assert not text and not ids or abs(mine - best(marked)) < 1e-9
 
 
@@ -190,6 +193,28 @@ def test_pieces_match_the_library(text):
     coder, library = test_pieces_match_the_library.pair
     ids = coder.encode(text)
     assert ids == library.encode(text) and coder.decode(ids) == text.replace("▁", " ")
+    marked = "▁" + text.replace(" ", "▁")
+    assert ids == list(coder.alone(marked)) * bool(text) and list(coder.side_by_side([marked])[0]) == list(coder.alone(marked))
+
+
+def test_best_scores_of_a_bpe_model_are_merges():
+    """Pieces whose merges overlap, so that a border decides; runs of one letter, whose merges tie."""
+    texts = ["a", "b", "c", "▁", "ab", "bc", "aa", "abc", "aaaa", "cab", "▁a", "aab", "bcab"]
+    model = pieces.PieceModel(tuple(["<unk>", *texts]), tuple(float(-i) for i in range(len(texts) + 1)), (2, *[1] * len(texts)), prefix=False)
+    model = replace(model, trees=pieces.merge_trees(model))
+    coder = pieces.PieceCoder(model)
+    for n in range(1, 8):
+        every = ["".join(x) for x in itertools.product("abc▁", repeat=n)]
+        want = [pieces.merged(x, coder.ids, model.scores)[0] for x in every]
+        assert [list(x) for x in coder.side_by_side(every)] == want and (n > 5 or [list(coder.alone(x)) for x in every] == want)
+
+
+def test_coders_keep_a_bounded_number_of_cuts():
+    coder = pieces.PieceCoder(replace(toy_unigram(), known=3, long=6))
+    texts = [" ".join(x) for x in itertools.product(["ab", "abc", "bc", "c", "abababab"], repeat=3)]
+    want = [list(coder.alone("▁" + t.replace(" ", "▁"))) for t in texts]
+    assert [coder.encode(t) for t in texts] == want == coder.encode_all(texts)
+    assert not any(len(x) >= 6 for x in coder.known) and len(coder.known) + len(coder.older) < 20
 
 
 def test_pieces_of_documents(spark, tiny):
@@ -197,8 +222,10 @@ def test_pieces_of_documents(spark, tiny):
 
     library = sentencepiece.SentencePieceProcessor(model_file=TOKENIZER)
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
-    more = spark.createDataFrame([(None, None, "", "s", 0), (1, "", "", "s", 0), (2, "long " * 50_000, "", "s", 0)], docs.schema)
-    out = pieces.encoded(docs.union(more), pieces.PieceModel.load(TOKENIZER), keep=["doc_id", "text"], decode=True).collect()
+    more = spark.createDataFrame([(None, None, "", "s", 0), (1, "", "", "s", 0), (2, "long " * 50_000, "", "s", 0), (2, "unbroken" * 20_000, "", "s", 0), (2, "abc", "", "s", 0), (2, "abc", "", "s", 0)], docs.schema)
+    clash = docs.union(more).withColumnsRenamed({"n_chars": "ids", "lang": "_text"})  # other columns under names of our own
+    out = pieces.encoded(clash, pieces.PieceModel.load(TOKENIZER), keep=["doc_id", "text"], decode=True).collect()
+    assert len(out) == clash.count()
     for r in out:
         assert r.ids == library.encode(r.text or "") and r.decoded == (r.text or "") and r.n_ids == len(r.ids)
     assert pieces.encoded(docs.limit(0), pieces.PieceModel.load(TOKENIZER)).count() == 0
