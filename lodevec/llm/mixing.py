@@ -1,13 +1,17 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-Documents are hashed into blocks of their source. Every source gets an exact quota of block draws: whole epochs, then as
-many permuted blocks as fit the rest of its target; of the one block that would exceed it, documents are taken largest
-first while they fit, and what is left over goes on to the blocks after it, until no document fits. A binary tree then splits the vector of quotas among output shards: at each node the left half's
-share of every source is drawn hypergeometrically from what the node holds, so each shard gets an exact number of draws
-and each source's draws sum to its quota. Shards take consecutive stretches of a source's permuted draws, which are
-disjoint, and are shuffled locally. All draws come from keyed hashes: reruns agree.
-
-DataFrame and SQL functions only.
+Documents are hashed into blocks of their source. A source is taken in whole epochs, each with a permutation of its
+blocks of its own, and in a partial epoch that takes a quota of blocks for what is left of its target. A binary tree
+splits each quota among the output shards: a node holds a stretch of permuted places and how many draws fall into it,
+and the left half's draws come from the hypergeometric distribution. The draws of all leaves together are multivariate
+hypergeometric and sum to the quota. Each leaf draws its number of blocks from its own stretch; the stretches are
+disjoint, so no block is drawn twice in an epoch. Shards are shuffled locally.
+
+Blocks differ in words, so the draw is then fitted to the target in words: the drawn blocks are gone through leaf by
+leaf, and after them the others. All their documents are taken up to the block that would exceed the target; of that one
+the largest first while they fit, and what is left goes on to the blocks after it until no document fits.
+
+All draws come from keyed hashes: reruns agree. DataFrame and SQL functions only.
 """
 
 from __future__ import annotations
@@ -19,92 +23,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import boxed, words_column, written
+from lodevec.llm.common import boxed, drop_paths, words_column, written
+from lodevec.operators.index import dense_positions
 
 
 @dataclass(frozen=True)
 class MixParams:
     """weights: of the sources by code point (null last), repeating; share: words of the mix in hundredths of all words;
-    most: times that a source's words may be taken; block_words: words that a block aims at; max_blocks: most blocks of
-    a source (bounds what a window over one source holds); levels: the mix has 2**levels output shards."""
+    most: times that a source's words may be taken; block_words: words that a block aims at; levels: the mix has
+    2**levels output shards; leaf_blocks: blocks that a leaf of a source's tree holds at most, so large sources have
+    deeper trees; seed: of blocks, permutations and the tree."""
 
     weights: tuple[int, ...] = (3, 1, 2)
     share: int = 150
     most: int = 2
     block_words: int = 20_000
-    max_blocks: int = 16_384
     levels: int = 4
+    leaf_blocks: int = 1_024
     seed: int = 17
 
 
-def source_targets(sizes: DataFrame, p: MixParams) -> DataFrame:
-    """(source, sid, source_size, target, blocks) from (source, size): one row for each source.
+#: Primes above 2**31, so that multiplying by them permutes the places of up to 2**31 blocks.
+PRIMES = (2147483659, 2147483693, 2147483713, 2147483743)
 
-    The level at which weights are served is found in closed form: sources are capped in the order of cap per weight,
-    up to the first one whose share at the level left by those before it is within its cap.
+
+def source_targets(totals: DataFrame, p: MixParams) -> DataFrame:
+    """(source, sid, source_size, target, whole, more, blocks, leaves) from (source, source_size), a row for each source.
+
+    whole: epochs that take all of it; more: words of the partial epoch; sid: place by code point. What targets above
+    the cap leave over is shared anew by weight until none is above; a round is an aggregate of one row.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    everything = W.partitionBy(F.lit(0))
-    ranked = totals.withColumn("sid", F.row_number().over(everything.orderBy(F.asc_nulls_last("source"))) - 1)
-    weight = F.element_at(F.array(*map(F.lit, p.weights)), (F.col("sid") % len(p.weights) + 1).cast("int"))
-    t = ranked.withColumn("w", weight.cast("double")).withColumn("cap", F.col("source_size") * F.lit(p.most)).withColumn("goal", F.sum("source_size").over(everything) * (p.share / 100.0))
-    by_need = everything.orderBy(F.col("cap") / F.col("w"), "sid")
-    before = by_need.rowsBetween(W.unboundedPreceding, -1)
-    level = (F.col("goal") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    t = t.withColumn("level", level)
-    first = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct(F.col("cap") / F.col("w"), "sid", "level"))).over(everything)
-    t = t.withColumn("level", first["level"])
-    target = F.least(F.coalesce(F.col("level") * F.col("w"), F.col("cap").cast("double")), F.col("cap").cast("double"))
-    blocks = F.greatest(F.lit(1), F.least(F.lit(p.max_blocks), F.ceil(F.col("source_size") / p.block_words))).cast("int")
-    return t.select("source", "sid", "source_size", target.alias("target"), blocks.alias("blocks"))
+    # Strings order by their UTF-8 bytes, which is by code point.
+    named = dense_positions(totals.where("source is not null"), "source").withColumnRenamed("_pos", "sid")
+    both = named.unionByName(totals.where("source is null").withColumn("sid", F.lit(named.count()).cast("long")))
+    weight = F.element_at(F.array(*map(F.lit, p.weights)), (F.col("sid") % len(p.weights) + 1).cast("int")).cast("double")
+    t = both.withColumn("w", weight).withColumn("cap", (F.col("source_size") * p.most).cast("double"))
+    level, n = None, -1
+    while True:
+        above = F.lit(False) if level is None else F.col("cap") < F.col("w") * level
+        goal, caps, weights, now = t.agg(F.sum("source_size") * (p.share / 100.0), F.sum(F.when(above, F.col("cap")).otherwise(0.0)), F.sum(F.when(above, 0.0).otherwise(F.col("w"))), F.sum(above.cast("int"))).first()
+        if now is None or now == n or not weights:
+            break
+        level, n = (goal - caps) / weights, now
+    target = F.least(F.col("w") * (level or 0.0), "cap") if now is None or weights else F.col("cap")
+    size = F.greatest("source_size", F.lit(1))
+    t = t.withColumn("target", target).withColumn("whole", F.floor(F.col("target") / size).cast("int"))
+    t = t.withColumn("more", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / p.block_words)).cast("long"))
+    depth = F.greatest(F.lit(p.levels), F.ceil(F.log2(F.col("blocks") / p.leaf_blocks)))
+    return t.select("source", "sid", "source_size", "target", "whole", "more", "blocks", F.expr("1L").alias("_one"), depth.cast("int").alias("depth")).withColumn("leaves", F.expr("shiftleft(_one, depth)")).drop("_one", "depth")
 
 
 def draw_key(p: MixParams, *columns: str | Column) -> Column:
     return F.xxhash64(F.lit(p.seed), *columns)
 
 
-def block_quotas(units: DataFrame, p: MixParams) -> DataFrame:
-    """(sid, block, words, rank, whole, part, rest): a row for each block.
-
-    units: (sid, block, unit, words, target, source_size). whole: epochs that take all blocks; part: whether the partial
-    epoch takes this block; rest: words of the source still to take before this block, null where part.
-    """
-    blocks = units.groupBy("sid", "block").agg(F.sum("words").alias("words"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
-    order = W.partitionBy("sid").orderBy(draw_key(p, "sid", "block"), "block")
-    blocks = blocks.withColumn("whole", F.floor(F.col("target") / F.col("source_size")).cast("int")).withColumn("more", F.col("target") - F.col("whole") * F.col("source_size"))
-    blocks = blocks.withColumn("rank", F.row_number().over(order) - 1).withColumn("upto", F.sum("words").over(order))
-    blocks = blocks.withColumn("part", F.col("upto") <= F.col("more"))
-    got = F.coalesce(F.max(F.when(F.col("part"), F.col("upto"))).over(W.partitionBy("sid")), F.lit(0))
-    return blocks.select("sid", "block", "words", "rank", "whole", "part", F.when(~F.col("part"), F.col("more") - got).alias("rest"))
-
-
-def fitted(units: DataFrame, quotas: DataFrame) -> DataFrame:
-    """(sid, block, unit) of the units taken once more from the blocks that the partial epoch doesn't take whole.
-
-    Blocks are gone through in permuted order. Of each all units are taken that are within what is left, or, in the one
-    where their sum isn't, largest first, each if it still fits; what is left then goes on to the blocks after it. Units
-    passed over never fit again, so a round takes up behind the last one's block; there are a few, as little is left
-    after one. The driver holds a number for each source; a list holds units of one block, about block_words words.
-    """
-    spark = units.sparkSession
-    held = written(units.join(quotas.where("rest > 0").select("sid", "block", "rank", "rest"), ["sid", "block"]).select("sid", "block", "rank", "unit", "words", "rest"), "untaken")
-    state = {r.sid: (-1, r.rest) for r in held.groupBy("sid").agg(F.first("rest").alias("rest")).collect()}
-    out = held.limit(0).select("sid", "block", "unit")
-    chosen = F.expr("""aggregate(list, named_struct('left', rest, 'took', cast(array() as array<struct<doc_id:bigint,size:bigint>>)),
-        (a, x) -> if(x.words <= a.left, named_struct('left', a.left - x.words, 'took', concat(a.took, array(x.unit))), a))""")
-    while state:
-        now = spark.createDataFrame([(k, *v) for k, v in sorted(state.items())], "sid int, after int, left double")
-        fit = held.drop("rest").join(F.broadcast(now), "sid").where("rank > after and words <= left")
-        sums = fit.groupBy("sid", "rank").agg(F.sum("words").alias("sum"), F.first("left").alias("left"))
-        upto = sums.withColumn("before", F.sum("sum").over(W.partitionBy("sid").orderBy("rank")) - F.col("sum"))
-        over = upto.where("before + sum > left").groupBy("sid").agg(F.min(F.struct("rank", F.expr("left - before").alias("rest"))).alias("o"))
-        cuts = spark.createDataFrame([(r.sid, r.o["rank"], r.o["rest"]) for r in over.collect()], "sid int, cut int, rest double")
-        marked = fit.join(F.broadcast(cuts), "sid", "left")
-        lists = marked.where("rank = cut").groupBy("sid", "block").agg(F.first("cut").alias("cut"), F.first("rest").alias("rest"), F.sort_array(F.collect_list(F.struct("words", "unit")), asc=False).alias("list"))
-        some = written(lists.select("sid", "block", "cut", chosen.alias("c")).select("sid", "block", "cut", "c.left", "c.took"), "fitted")
-        out = out.union(marked.where("cut is null or rank < cut").select("sid", "block", "unit")).union(some.select("sid", "block", F.explode("took")))
-        state = {r.sid: (r.cut, r.left) for r in some.select("sid", "cut", "left").collect()}
-    return out
+def place_of(p: MixParams, sid: Column, block: Column, blocks: Column, epoch: Column) -> Column:
+    """Where an epoch's permutation puts a block: 0 up to blocks. Blocks are filled by hash, so that their own numbers
+    are in random order already."""
+    factor = F.element_at(F.array(*(F.lit(x).cast("long") for x in PRIMES)), (F.pmod(draw_key(p, sid, epoch, F.lit("factor")), F.lit(len(PRIMES))) + 1).cast("int"))
+    return F.pmod(block * factor + F.pmod(draw_key(p, sid, epoch, F.lit("shift")), blocks), blocks)
 
 
 #: One draw from the hypergeometric distribution by inversion: of `n` drawn from `tot` with `q` good ones, the number of
@@ -134,27 +111,66 @@ def _named(sql: str) -> str:
     return re.sub(r"\b(n|q|tot)\b", r"z.\1", sql)
 
 
-def shard_counts(quotas: DataFrame, p: MixParams) -> DataFrame:
-    """(sid, ends): for each source the running ends of the stretches of its draws that shards 0, 1, ... take.
+def leaf_counts(targets: DataFrame, p: MixParams, paths: list[str]) -> DataFrame:
+    """(sid, leaf, draws): how many blocks each leaf draws in the partial epoch; leaves without a draw get no row.
 
-    quotas: (sid, quota). The whole vector of quotas is one row (a number for each source); each level of the tree
-    doubles the rows, up to 2**levels.
+    Every level of the tree doubles the rows of the sources that go on to it; no row holds more than one node.
+    """
+    start = "(({0}) * blocks + leaves - 1) div leaves"  # first place of a leaf's stretch
+    # lo, hi: leaves of the node; q: its draws.
+    quota = F.floor(F.col("more") / F.greatest("source_size", F.lit(1)) * F.col("blocks")).cast("long")
+    nodes = targets.select("sid", "blocks", "leaves", F.lit(0).cast("long").alias("lo"), F.col("leaves").alias("hi"), F.least(quota, "blocks").alias("q")).where("q > 0")
+    deepest = targets.agg(F.max("leaves")).first()[0] or 1
+    for level in range(deepest.bit_length() - 1):
+        mid = "((lo + hi) div 2)"
+        u = f"(shiftrightunsigned(xxhash64({p.seed}, {level}, sid, lo), 11) / 9007199254740992D)"
+        draw = hypergeometric("q", f"{start.format(mid)} - {start.format('lo')}", f"{start.format('hi')} - {start.format('lo')}", u)
+        halves = f"array(named_struct('lo', lo, 'hi', {mid}, 'q', l), named_struct('lo', {mid}, 'hi', hi, 'q', q - l))"
+        whole = "array(named_struct('lo', lo, 'hi', hi, 'q', q))"
+        nodes = nodes.withColumn("l", F.expr(f"if(hi - lo > 1, {draw}, 0L)")).select("sid", "blocks", "leaves", F.explode(F.expr(f"if(hi - lo > 1, {halves}, {whole})")).alias("h"))
+        nodes = nodes.select("sid", "blocks", "leaves", "h.lo", "h.hi", "h.q").where("q > 0")
+        if level % 6 == 5:
+            nodes = written(nodes, "nodes", paths)
+    return nodes.select("sid", F.col("lo").alias("leaf"), F.col("q").alias("draws"))
+
+
+def first_over(sums: DataFrame, place: str) -> DataFrame:
+    """(sid, place, rest): for each source the first place at which running words exceed left, and what is left before
+    it. sums: (sid, place, words, left)."""
+    order = W.partitionBy("sid").orderBy(place)
+    running = sums.withColumn("before", F.sum("words").over(order) - F.col("words")).where("before + words > left")
+    return running.groupBy("sid").agg(F.min(F.struct(place, F.expr("left - before").alias("rest"))).alias("o")).select("sid", f"o.{place}", "o.rest")
+
+
+def fitted(rows: DataFrame, targets: DataFrame, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What the partial epochs take, as (sid, rounds) and (sid, doc, size).
+
+    rows: (sid, lane, rank, doc, size); lanes are runs of ranks of at most leaf_blocks blocks. A document is taken if
+    its size is within what a round has left and its block between where the round begins and its cut; rounds: structs
+    (after, cut, left). The second frame names the documents taken from the cuts' blocks. Sums go by lane first, and
+    ranks are only ranked inside the lane where the cut is. A list holds the documents of one block.
     """
-    nodes = quotas.groupBy().agg(F.sort_array(F.collect_list(F.struct("sid", F.col("quota").cast("bigint").alias("q")))).alias("held")).select(F.lit(0).alias("node"), "held")
-    total = "aggregate(held, 0L, (a, x) -> a + x.q)"
-    for level in range(p.levels):
-        u = f"(shiftrightunsigned(xxhash64({p.seed}, {level}, node, x.sid), 11) / 9007199254740992D)"
-        draw = hypergeometric("acc.n", "x.q", "acc.tot", u)
-        split = f"""aggregate(held, named_struct('n', cast(floor(t / 2) as bigint) + if(t % 2 = 1, pmod(xxhash64({p.seed}, {level}, node), 2), 0L), 'tot', t,
-            'parts', cast(array() as array<struct<sid:int,l:bigint,r:bigint>>)),
-            (acc, x) -> element_at(transform(array({draw}), d -> named_struct('n', acc.n - d, 'tot', acc.tot - x.q,
-            'parts', concat(acc.parts, array(named_struct('sid', x.sid, 'l', d, 'r', x.q - d))))), 1)).parts"""
-        nodes = nodes.withColumn("t", F.expr(total)).withColumn("parts", F.expr(split))
-        halves = "array(named_struct('node', 2 * node, 'held', transform(parts, x -> named_struct('sid', x.sid, 'q', x.l))), named_struct('node', 2 * node + 1, 'held', transform(parts, x -> named_struct('sid', x.sid, 'q', x.r))))"
-        nodes = nodes.select(F.explode(F.expr(halves)).alias("h")).select("h.node", "h.held")
-    counts = nodes.select("node", F.explode("held").alias("h")).select("node", "h.sid", "h.q")
-    ends = counts.withColumn("end", F.sum("q").over(W.partitionBy("sid").orderBy("node")))
-    return ends.groupBy("sid").agg(F.transform(F.sort_array(F.collect_list(F.struct("node", "end"))), lambda x: x["end"]).alias("ends"))
+    chosen_sql = """aggregate(list, named_struct('left', rest, 'took', cast(array() as array<struct<doc:bigint,size:bigint>>)),
+        (a, x) -> if(x.words <= a.left, named_struct('left', a.left - x.words, 'took', concat(a.took, array(x.unit))), a))"""
+    state = targets.where("more > 0").select("sid", F.lit(-1).cast("long").alias("after"), F.col("more").alias("left"))
+    rounds, chosen = [], []
+    while not (state := written(state, "left", paths)).isEmpty():
+        fit = rows.join(state, "sid").where("rank > after and size <= left")
+        lanes = fit.groupBy("sid", "lane").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+        cut_lane = written(first_over(lanes, "lane"), "lane", paths)
+        inside = fit.drop("left").join(cut_lane.withColumnRenamed("rest", "left"), ["sid", "lane"])
+        cut = written(first_over(inside.groupBy("sid", "rank").agg(F.sum("size").alias("words"), F.first("left").alias("left")), "rank"), "cut", paths)
+        units = inside.join(cut, ["sid", "rank"]).groupBy("sid", "rank", "rest", F.struct("doc", "size").alias("unit")).agg(F.sum("size").alias("words"))
+        lists = units.groupBy("sid", "rank").agg(F.first("rest").alias("rest"), F.sort_array(F.collect_list(F.struct("words", "unit")), asc=False).alias("list"))
+        took = written(lists.select("sid", "rank", F.expr(chosen_sql).alias("c")).select("sid", "rank", "c.left", "c.took"), "took", paths)
+        rounds.append(state.join(cut.select("sid", F.col("rank").alias("cut")), "sid", "left").select("sid", "after", "cut", "left"))
+        chosen.append(took.select("sid", F.explode("took").alias("u")).select("sid", "u.doc", "u.size"))
+        state = took.select("sid", F.col("rank").alias("after"), "left")
+    empty = rows.sparkSession.createDataFrame([], "sid long, after long, cut long, left double, doc long, size long")
+    every, took = empty.select("sid", "after", "cut", "left"), empty.select("sid", "doc", "size")
+    for a, b in zip(rounds, chosen):
+        every, took = every.unionByName(a), took.unionByName(b)
+    return every.groupBy("sid").agg(F.collect_list(F.struct("after", "cut", "left")).alias("rounds")), took
 
 
 def mix_plan(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
@@ -165,37 +181,41 @@ def mix_plan(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     source is a source of its own, last in order. Rows that repeat doc_id and size stand or fall together; a null doc_id
     is a value like any other. An empty table gives an empty result.
     """
-    p = params
+    p, paths = params, []
     rows = boxed(docs, _doc=F.col("doc_id").cast("long"), _from=F.col("source").cast("string"), _size=words_column(F.col("text")))
-    targets = source_targets(rows.select(F.col("_from").alias("source"), F.col("_size").alias("size")), p)
-    renamed = targets.select(F.col("source").alias("_source"), F.col("sid").alias("_sid"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("blocks").alias("_blocks"))
+    slim = written(rows.select("_doc", "_from", "_size"), "sizes", paths)  # texts are searched for words once
+    totals = written(slim.groupBy(F.col("_from").alias("source")).agg(F.sum("_size").alias("source_size")), "totals", paths)
+    kept: list[str] = []
+    targets = written(source_targets(totals, p), "targets", kept)
+    leaves = written(leaf_counts(targets, p, paths), "leaves", kept)
+    mine = targets.select(F.col("source").alias("_source"), F.col("sid").alias("_sid"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("whole").alias("_whole"), F.col("blocks").alias("_blocks"), F.col("leaves").alias("_leaves"))
+    draws = leaves.select(F.col("sid").alias("_s"), F.col("leaf").alias("_l"), "draws")
 
     def placed(frame: DataFrame) -> DataFrame:
-        joined = frame.join(renamed, frame["_from"].eqNullSafe(renamed["_source"])).drop("_source")
-        return joined.withColumn("_block", F.pmod(F.xxhash64(F.lit(p.seed), "_doc", "_size"), "_blocks").cast("int"))
-
-    slim = placed(rows.select("_doc", "_from", "_size")).where("_size > 0")
-    unit = F.struct(F.col("_doc").alias("doc_id"), F.col("_size").alias("size"))
-    units = slim.groupBy(F.col("_sid").alias("sid"), F.col("_block").alias("block"), unit.alias("unit")).agg(F.sum("_size").alias("words"), F.first("_target").alias("target"), F.first("_source_size").alias("source_size"))
-    quotas = block_quotas(units, p)
-    extra = fitted(units, quotas)
-    # Blocks of which some units are taken have a place in the partial epoch, after those that are taken whole.
-    quotas = quotas.join(extra.select("sid", "block", F.lit(True).alias("open")).distinct(), ["sid", "block"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
-    quotas = quotas.withColumn("seat", F.sum((F.col("part") | F.col("open")).cast("int")).over(W.partitionBy("sid").orderBy("rank")) - 1)
-    draws = quotas.groupBy("sid").agg((F.sum("whole") + F.sum((F.col("part") | F.col("open")).cast("int"))).alias("quota"), F.count(F.lit(1)).alias("n"))
-    ends = shard_counts(draws.select("sid", "quota"), p)
-    # A draw's place: epoch by epoch, each in its block order; the blocks in part come right after the whole ones.
-    epochs = F.when(F.col("part") | F.col("open"), F.col("whole") + 1).otherwise(F.col("whole"))
-    copies = F.when(epochs > 0, F.transform(F.sequence(F.lit(0), epochs - 1), lambda e: F.struct(e.alias("epoch"), F.size(F.filter("ends", lambda x: x <= e * F.col("n") + F.when(e < F.col("whole"), F.col("rank")).otherwise(F.col("seat")))).alias("shard"))))
-    per_block = quotas.join(draws.select("sid", "n"), "sid").join(ends, "sid")
-    per_block = per_block.select(F.col("sid").alias("_sid"), F.col("block").alias("_block"), copies.alias("_draws"), "whole", F.col("open").alias("_open"))
-    out = placed(rows).join(per_block, ["_sid", "_block"], "left")
-    chosen = extra.select(F.col("sid").alias("_s"), F.col("block").alias("_b"), F.col("unit.doc_id").alias("_d"), F.col("unit.size").alias("_z"), F.lit(True).alias("_more"))
-    out = out.join(chosen, (F.col("_s") == F.col("_sid")) & (F.col("_b") == F.col("_block")) & F.col("_d").eqNullSafe(F.col("_doc")) & (F.col("_z") == F.col("_size")), "left")
-    taken = F.when(F.col("_open") & F.col("_more").isNull(), F.slice("_draws", F.lit(1), F.greatest(F.col("whole"), F.lit(0)))).otherwise(F.col("_draws"))
+        """frame with its source's row, the block and the rank in the partial epoch."""
+        out = frame.join(mine, F.col("_from").eqNullSafe(F.col("_source"))).drop("_source")
+        out = out.withColumn("_block", F.pmod(draw_key(p, "_doc", "_size"), "_blocks"))
+        out = out.withColumn("_place", place_of(p, F.col("_sid"), F.col("_block"), F.col("_blocks"), F.lit(-1))).withColumn("_leaf", F.expr("_place * _leaves div _blocks"))
+        out = out.join(draws, (F.col("_s") == F.col("_sid")) & (F.col("_l") == F.col("_leaf")), "left")
+        drawn = F.expr("_place - (_leaf * _blocks + _leaves - 1) div _leaves < coalesce(draws, 0)")
+        return out.withColumn("_rank", F.col("_place") + F.when(drawn, 0).otherwise(F.col("_blocks"))).withColumn("_lane", F.col("_leaf") + F.when(drawn, 0).otherwise(F.col("_leaves"))).drop("_s", "_l", "draws")
+
+    ranked = placed(slim.where("_size > 0")).select(F.col("_sid").alias("sid"), F.col("_lane").alias("lane"), F.col("_rank").alias("rank"), F.col("_doc").alias("doc"), F.col("_size").alias("size"))
+    rounds, chosen = fitted(written(ranked, "ranked", paths), targets, paths)
+    rounds = written(rounds.withColumnRenamed("sid", "_r"), "rounds", kept)
+    chosen = written(chosen.select(F.col("sid").alias("_c"), F.col("doc").alias("_d"), F.col("size").alias("_z")).distinct().withColumn("_more", F.lit(True)), "chosen", kept)
+    drop_paths(docs.sparkSession, paths)
+    out = placed(rows).join(rounds, F.col("_r") == F.col("_sid"), "left")
+    out = out.join(chosen, (F.col("_c") == F.col("_sid")) & F.col("_d").eqNullSafe(F.col("_doc")) & (F.col("_z") == F.col("_size")), "left")
+    extra = F.expr("coalesce(_more, false) or exists(coalesce(rounds, array()), r -> _rank > r.after and (r.cut is null or _rank < r.cut) and _size <= r.left)")
+    # A source's stretches begin at a shard of its own, so that sources of one block don't meet in one shard.
+    turn = lambda epoch: F.pmod(draw_key(p, F.col("_sid"), epoch, F.lit("turn")), F.lit(1 << p.levels))
+    shard = lambda epoch: ((F.floor(place_of(p, F.col("_sid"), F.col("_block"), F.col("_blocks"), epoch) * (1 << p.levels) / F.col("_blocks")) + turn(epoch)) % (1 << p.levels)).cast("int")
+    whole = F.when(F.col("_whole") > 0, F.transform(F.sequence(F.lit(0), F.col("_whole") - 1), lambda e: F.struct(e.alias("epoch"), shard(e).alias("shard"))))
     none = F.array().cast("array<struct<epoch:int,shard:int>>")
-    out = out.withColumn("_copies", F.when(F.col("_size") > 0, F.coalesce(taken.cast("array<struct<epoch:int,shard:int>>"), none)).otherwise(none))
-    return out.select("_row", "_size", "_source_size", "_target", "_copies")
+    part = F.when(extra, F.array(F.struct(F.col("_whole").alias("epoch"), shard(F.lit(-1)).alias("shard")))).otherwise(none)
+    copies = F.when(F.col("_size") > 0, F.concat(F.coalesce(whole.cast("array<struct<epoch:int,shard:int>>"), none), part)).otherwise(none)
+    return out.select("_row", "_size", "_source_size", "_target", copies.alias("_copies"))
 
 
 def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:

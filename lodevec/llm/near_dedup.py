@@ -8,24 +8,28 @@ pairs that may reach the threshold are confirmed on the full sets.
 
 How the pairs of a bucket stay few: texts with equal sets count once; every member of a bucket is first tried against
 the bucket's smallest id alone, and the links found are contracted to components. Only buckets that still hold several
-components are searched again, in blocks of bounded size, for pairs between different components; around a large
-component the blocks hold full sets and only links come out. So no bucket is expanded into all its pairs, and no
-candidate is dropped.
+components are searched again, for pairs between different components. Members of a bucket of up to a block's size meet
+in one go. In wider ones many share a passage and little else: there two members meet only if a linked pair of their
+sizes could still be one given their rarest shingles. Of a linked pair's shared shingles, in order of rarity, the first
+is always among the rarest ones of both, so nothing is lost by this. What meets is compared in blocks of bounded size,
+first by estimate, then on full sets. No bucket is expanded into all its pairs, and no candidate is dropped.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodevec.llm.common import drop_paths, mixed, text_bytes, written
 from lodevec.llm.components import components
-from lodevec.llm.exact_dedup import DedupParams, hit_filter, with_mark
+from lodevec.llm.exact_dedup import filter_bits, hit_filter, with_mark
 
 
 @dataclass(frozen=True)
@@ -33,7 +37,8 @@ class NearParams:
     """words: length of a shingle; percent: least similarity of a link, in hundredths; bands x rows registers, at 75 %
     similarity a pair misses every band once in 400,000; base, rate, top: SetSketch's b, a and q + 1; slack: how far an
     estimate may fall short of the threshold (5.5 standard deviations); block: most members of a bucket that are
-    compared with as many others in one go; filter_bits: bits of the fixed-size filters (26: 8 MB), as an exponent."""
+    compared with as many others in one go; salt: most pairs of one document that meet in one place; most_bits: bits of
+    a filter at most (28: 32 MB), as an exponent."""
 
     words: int = 5
     percent: int = 75
@@ -44,7 +49,8 @@ class NearParams:
     top: int = 65_535
     slack: float = 0.16
     block: int = 64
-    filter_bits: int = 26
+    salt: int = 64
+    most_bits: int = 28
     seed: int = 20_240
 
     @property
@@ -113,7 +119,7 @@ def sketches(docs: DataFrame, params: NearParams) -> DataFrame:
             for data in batch.column(1).to_pylist():
                 s = shingles(data, params)
                 n.append(len(s))
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                digests.append(hashlib.blake2b(s.tobytes(), digest_size=32).digest() if len(s) else None)
                 regs.append(sketcher.sketch(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())], ["id", "n", "digest", "regs"])
 
@@ -140,10 +146,19 @@ def near_sizes(n: Column, m: Column, params: NearParams) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * params.percent
 
 
+def attached(pairs: DataFrame, held: DataFrame, params: NearParams, *columns: str) -> DataFrame:
+    """(a, b, and the columns of held (id, ...) of both). The columns of b travel with the pair; those of an a with many
+    pairs are copied to so many salts that no more than params.salt pairs of it meet in one place."""
+    hot = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / params.salt).cast("int").alias("salts")).where("salts > 1")
+    salted = pairs.select("a", "b").join(hot, "a", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+    side = lambda x: held.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+    dealt = side("a").join(pairs.select("a").distinct(), "a", "left_semi").join(hot, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return salted.join(side("b"), "b").join(dealt, ["a", "salt"]).drop("salt")
+
+
 def likely(pairs: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
     """The pairs (a, b) whose estimate doesn't rule out a link."""
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"r_{x}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b")
+    both = attached(pairs, reps, params, "n", "regs").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
 
     def run(batches):
         sketcher = Sketcher(params)
@@ -159,11 +174,12 @@ def likely(pairs: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
 
 
 def full_sets(ids: DataFrame, docs: DataFrame, params: NearParams, paths: list[str]) -> DataFrame:
-    """(id, s): full sets of at least the documents named, made again from their whole texts. A filter of fixed size
+    """(id, s): full sets of at least the documents named, made again from their whole texts. A filter of bounded size
     over the ids keeps other documents' texts where they are."""
-    filter_params = DedupParams(filter_bits=params.filter_bits)
-    bits = written(hit_filter(ids.toDF("digest"), filter_params), "filter", paths)
-    mine = with_mark(docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes("text").alias("_text")), "id", bits, filter_params).where("_maybe")
+    ids = written(ids.toDF("digest").distinct(), "named", paths)
+    bits = filter_bits(ids.count(), params.most_bits)
+    passes = written(hit_filter(ids, bits), "filter", paths)
+    mine = with_mark(docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes("text").alias("_text")), "id", passes, bits).where("_maybe")
 
     def run(batches):
         for batch in batches:
@@ -180,27 +196,34 @@ def full_sets(ids: DataFrame, docs: DataFrame, params: NearParams, paths: list[s
 def verified(pairs: DataFrame, docs: DataFrame, params: NearParams, paths: list[str]) -> DataFrame:
     """The pairs (a, b) that are links on their full sets."""
     sets = full_sets(pairs.select("a").union(pairs.select("b")), docs, params, paths)
-    first = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a")
-    both = first.join(sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b")
+    both = attached(pairs, sets, params, "s")
     common = F.size(F.array_intersect("s_a", "s_b"))
     counted = both.select("a", "b", common.alias("common"), (F.size("s_a") + F.size("s_b")).alias("total"))
     return counted.where((F.col("common") * 100 >= (F.col("total") - F.col("common")) * params.percent)).select("a", "b").distinct()
 
 
-def cells(rows: DataFrame, group: str, block: int, *columns: str) -> DataFrame:
+def with_main(rows: DataFrame, key: str) -> DataFrame:
+    """rows (key, id, component, ...) of the groups that hold several components, with the component of which the group
+    holds the most (main), numbers of its rows and of all (c_main, c), and is_main."""
+    by_part = rows.groupBy(key, "component").agg(F.count(F.lit(1)).alias("c"))
+    stats = by_part.groupBy(key).agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("c_main"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    return rows.join(stats, key).withColumn("is_main", F.col("component") == F.col("main"))
+
+
+def cells(rows: DataFrame, group: str, among: bool, *columns: str) -> DataFrame:
     """(kind, i, j, rows): what meets in one go. rows: (group, id, component, is_main, mb, ob) and further columns.
 
     A group's rows of its main component stand on one side, all others on the other; mb and ob are their numbers of
-    blocks. Blocks of the first side meet those of the second (kind m), and those of the second meet each other
-    (kind o). rows: structs of id, component, side and the columns.
+    blocks. Blocks of the first side meet those of the second (kind m), and, if among, those of the second meet each
+    other (kind o). rows: structs of id, component, side and the columns.
     """
     mine = F.col("mine")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mb")).otherwise(F.col("ob"))).cast("int"))
     cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), (F.lit(side) if isinstance(side, int) else side).alias("side"))
     to_others = F.transform(F.sequence(F.lit(0), F.col("ob") - 1), lambda j: cell("m", mine, j, 0))
     to_main = F.transform(F.sequence(F.lit(0), F.col("mb") - 1), lambda i: cell("m", i, mine, 1))
-    among = F.transform(F.sequence(F.lit(0), F.col("ob") - 1), lambda j: cell("o", F.least(mine, j), F.greatest(mine, j), F.when(mine <= j, 0).otherwise(1)))
-    dealt = rows.withColumn("cell", F.explode(F.when(F.col("is_main"), to_others).otherwise(F.concat(to_main, among))))
+    each_other = F.transform(F.sequence(F.lit(0), F.col("ob") - 1), lambda j: cell("o", F.least(mine, j), F.greatest(mine, j), F.when(mine <= j, 0).otherwise(1)))
+    dealt = rows.withColumn("cell", F.explode(F.when(F.col("is_main"), to_others).otherwise(F.concat(to_main, each_other) if among else to_main)))
     held = F.collect_list(F.struct("id", "component", "cell.side", *columns)).alias("rows")
     return dealt.groupBy(group, "cell.kind", "cell.i", "cell.j").agg(held).where(F.size("rows") > 1).select("kind", "i", "j", "rows")
 
@@ -217,8 +240,9 @@ def pairs_batch(a_out: list[np.ndarray], b_out: list[np.ndarray]) -> pa.RecordBa
 
 
 def between(rows: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
-    """Candidate pairs (a, b) of different components in one bucket, by their estimate. A task sees two blocks at a time
-    and returns only pairs that may reach the threshold."""
+    """Candidate pairs (a, b) of different components in one group, by their estimate. rows: (key, id, n, component,
+    c_main, c, is_main, first); first: whether a row of at least this one's size may meet it here. A task sees two
+    blocks at a time and returns only pairs that may reach the threshold."""
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / params.block)).cast("int")
     rows = rows.join(reps.select("id", "regs"), "id").withColumn("mb", blocks(F.col("c_main"))).withColumn("ob", blocks(F.col("c") - F.col("c_main")))
 
@@ -228,12 +252,13 @@ def between(rows: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
             a_out, b_out = [], []
             for g in range(len(batch)):
                 r = batch.column(3)[g].values
-                ids, part, side, n = (r.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-                regs = binary_matrix(r.field(4), params.registers)
+                ids, part, side, n, first = (r.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+                regs = binary_matrix(r.field(5), params.registers)
                 left, right, one = sides(batch, g, side)
                 for x in left:
                     y = right[right > x] if one else right
-                    y = y[(part[y] != part[x]) & (ids[y] != ids[x]) & (100 * np.minimum(n[y], n[x]) >= params.percent * np.maximum(n[y], n[x]))]
+                    met = np.where(n[y] < n[x], first[y], np.where(n[y] > n[x], first[x], first[x] | first[y]))
+                    y = y[met & (part[y] != part[x]) & (ids[y] != ids[x]) & (100 * np.minimum(n[y], n[x]) >= params.percent * np.maximum(n[y], n[x]))]
                     if len(y):
                         j = sketcher.estimate(regs[x], regs[y], float(n[x]), n[y].astype(float))
                         y = y[j >= params.percent / 100 - params.slack]
@@ -241,51 +266,82 @@ def between(rows: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
                         b_out.append(np.maximum(ids[x], ids[y]))
             yield pairs_batch(a_out, b_out)
 
-    return cells(rows, "key", params.block, "n", "regs").mapInArrow(run, "a long, b long").distinct()
+    return cells(rows, "key", True, "n", "first", "regs").mapInArrow(run, "a long, b long").distinct()
 
 
-def around_large(rows: DataFrame, docs: DataFrame, params: NearParams, paths: list[str]) -> DataFrame:
-    """Links (a, b) between a large component and what shares buckets with it, and among the latter.
+def rare_shingles(sets: DataFrame, params: NearParams) -> DataFrame:
+    """(key, id, component, of, n, first): the rarest shingles of each set (id, component, of, s), as far as it takes for
+    a linked pair to share one, among all these sets; shingles of one set alone are left out.
 
-    Here almost any estimate is near the threshold, so the full sets meet, block by block, once for all the buckets; a
-    row returns one link for each component that it is linked to.
+    A set linked with one of at least its own size shares at least ceil(2 t n / (1 + t)) shingles with it, and with a
+    smaller one ceil(t n), so the first shared one, by rarity, is among the first n + 1 less that number (first, and all
+    rows given, in this order).
     """
-    hot = written(rows.select(F.col("main").alias("group"), "id", "component", (F.col("component") == F.col("main")).alias("is_main")).distinct(), "hot", paths)
-    if hot.isEmpty():
-        return hot.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    t, n = params.percent, F.col("n")
+    seen = sets.select("id", "component", "of", F.size("s").cast("long").alias("n"), F.explode("s").alias("key"))
+    counts = seen.groupBy("key").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
+    own = W.partitionBy("id")
+    rank = n - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("seen", "key"))  # behind those of one set alone
+    ranked = seen.join(counts, "key").withColumn("rank", rank)
+    ranked = ranked.withColumn("first", F.col("rank") <= n + 1 - F.ceil(2 * t * n / (100 + t))).where(F.col("rank") <= n + 1 - F.ceil(t * n / 100))
+    return ranked.select("key", "id", "component", "of", "n", "first")
+
+
+def in_wide(rows: DataFrame, docs: DataFrame, reps: DataFrame, params: NearParams, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) of members (id, component, of) of wide buckets, and links found. of: members of the
+    component in all.
+
+    Members of small components meet where they share a rare shingle. A large component's members are near copies of
+    each other, so that a straggler shares rare shingles with most of them: it meets all of them in blocks, by estimate
+    and then full set, and returns one link for each component.
+    """
+    sets = full_sets(rows.select("id"), docs, params, paths)
+    held = written(rows.join(sets, "id"), "held", paths)
+    rare = written(rare_shingles(held, params), "rare", paths)
+    few = F.col("of") <= params.block
+    met = with_main(rare.where(few), "key")
+    some = met.groupBy("key").agg(F.max("first").alias("any")).where("any").select("key")
+    pairs = between(met.join(some, "key", "left_semi"), reps, params)
+    # (main, id): what shares a rare shingle with a member of a large component.
+    mains = rare.where(~few).select("key", F.col("component").alias("main")).distinct()
+    others = written(rare.join(mains, "key").where("component <> main").select("main", "id").distinct(), "others", paths)
+    if others.isEmpty():
+        return pairs, pairs.limit(0)
+    both = held.join(others, "id").withColumn("is_main", F.lit(False)).unionByName(held.where(~few).join(others.select(F.col("main").alias("component")).distinct(), "component", "left_semi").withColumn("main", F.col("component")).withColumn("is_main", F.lit(True)))
     per = lambda x: F.greatest(F.lit(1), F.ceil(F.sum(x.cast("int")) / (2 * params.block))).cast("int")
-    blocks = hot.groupBy("group").agg(per(F.col("is_main")).alias("mb"), per(~F.col("is_main")).alias("ob"))
-    sets = full_sets(hot.select("id").distinct(), docs, params, paths)
-    held = hot.join(blocks, "group").join(sets, "id")
+    blocks = both.groupBy("main").agg(per(F.col("is_main")).alias("mb"), per(~F.col("is_main")).alias("ob"))
+    return pairs, around_large(both.join(blocks, "main").join(reps.select("id", "n", "regs"), "id"), params)
+
+
+def around_large(rows: DataFrame, params: NearParams) -> DataFrame:
+    """Links (a, b) between a large component and others: rows (main, id, component, is_main, mb, ob, s, n, regs)."""
 
     def run(batches):
+        sketcher = Sketcher(params)
         for batch in batches:
             a_out, b_out = [], []
             for g in range(len(batch)):
                 r = batch.column(3)[g].values
-                ids, part, side = (r.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                lists = r.field(3)
-                ends = lists.offsets.to_numpy()
-                values = lists.values.to_numpy()
-                sets = [values[lo:hi] for lo, hi in zip(ends[:-1], ends[1:])]
-                size = np.diff(ends)
+                ids, part, side, n = (r.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                regs, lists = binary_matrix(r.field(4), params.registers), r.field(5)
+                ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
                 left, right, _ = sides(batch, g, side)
-                shingle, owner = np.concatenate([sets[x] for x in left]), np.repeat(left, size[left])
-                order = np.argsort(shingle, kind="stable")
-                shingle, owner = shingle[order], owner[order]
                 for y in right:
-                    lo, hi = np.searchsorted(shingle, sets[y], "left"), np.searchsorted(shingle, sets[y], "right")
-                    n = hi - lo
-                    at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    common = np.bincount(owner[at], minlength=len(ids))[left]
-                    good = (100 * common >= params.percent * (size[left] + size[y] - common)) & (part[left] != part[y]) & (ids[left] != ids[y])
-                    x = left[good]
-                    _, first = np.unique(part[x], return_index=True)
-                    a_out.append(np.minimum(ids[x[first]], ids[y]))
-                    b_out.append(np.maximum(ids[x[first]], ids[y]))
+                    x = left[(part[left] != part[y]) & (100 * np.minimum(n[left], n[y]) >= params.percent * np.maximum(n[left], n[y]))]
+                    if len(x):
+                        x = x[sketcher.estimate(regs[x], regs[y], n[x].astype(float), float(n[y])) >= params.percent / 100 - params.slack]
+                    own = values[ends[y] : ends[y + 1]]
+                    for k in x:  # one link with the component will do
+                        theirs = values[ends[k] : ends[k + 1]]
+                        place = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+                        common = int((own[place] == theirs).sum())
+                        if 100 * common >= params.percent * (n[k] + n[y] - common):
+                            a_out.append(np.minimum(ids[k : k + 1], ids[y]))
+                            b_out.append(np.maximum(ids[k : k + 1], ids[y]))
+                            break
             yield pairs_batch(a_out, b_out)
 
-    return cells(held, "group", params.block, "s").mapInArrow(run, "a long, b long")
+    return cells(rows, "main", False, "n", "regs", "s").mapInArrow(run, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
@@ -296,7 +352,6 @@ def near_dedup(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     with all their texts, and each gets that node's component. An empty table gives an empty result.
     """
     spark, paths = docs.sparkSession, []
-    filter_params = DedupParams(filter_bits=params.filter_bits)
     sketch = written(sketches(docs, params), "sketches", paths)
     named = sketch.where("n > 0 and id is not null")
     # Equal sets have equal sketches, so any row's will do.
@@ -304,21 +359,25 @@ def near_dedup(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     bands = banded(reps, params)
     buckets = bands.groupBy("key").agg(F.min(F.struct("id", "n")).alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1")
     buckets = written(buckets.select("key", "pivot.id", "pivot.n"), "buckets", paths)
-    bits = written(hit_filter(buckets.select(F.col("key").alias("digest")), filter_params), "filter", paths)
-    members = with_mark(bands, "key", bits, filter_params).where("_maybe").drop("_maybe")
+    bits = filter_bits(buckets.count(), params.most_bits)
+    passes = written(hit_filter(buckets.select(F.col("key").alias("digest")), bits), "filter", paths)
+    members = with_mark(bands, "key", passes, bits).where("_maybe").drop("_maybe")
     members = written(members.join(buckets.select("key", F.col("id").alias("pivot"), F.col("n").alias("m")), "key"), "members", paths)
     tries = members.where((F.col("id") != F.col("pivot")) & near_sizes(F.col("n"), F.col("m"), params)).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     tried = written(likely(tries, reps, params), "tried", paths)
     links = written(verified(tried, docs, params, paths), "links", paths)
     parts = components(links, paths)
+    of = parts.groupBy("component").agg(F.count(F.lit(1)).alias("of"))
     rest = members.join(parts, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    by_part = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    stats = by_part.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("c_main"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    large = parts.groupBy("component").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") > params.block).select(F.col("component").alias("main"), F.lit(True).alias("wide"))
-    stats = stats.join(large, "main", "left").withColumn("wide", F.coalesce("wide", F.col("c") > params.block))
-    open_rows = written(rest.join(stats, "key").withColumn("is_main", F.col("component") == F.col("main")), "open", paths)
-    more = written(between(open_rows.where("not wide"), reps, params).join(tried, ["a", "b"], "left_anti"), "more", paths)
-    more = verified(more, docs, params, paths).union(around_large(open_rows.where("wide"), docs, params, paths))
+    open_rows = with_main(rest, "key").join(of.withColumnRenamed("component", "main"), "main", "left")
+    open_rows = written(open_rows.withColumn("wide", F.coalesce(F.col("of") > params.block, F.lit(False)) | (F.col("c") > params.block)).drop("of"), "open", paths)
+    more = between(open_rows.where("not wide").withColumn("first", F.lit(True)), reps, params)
+    wide = written(open_rows.where("wide").select("id", "component").distinct().join(of, "component", "left").withColumn("of", F.coalesce("of", F.lit(1))), "wide", paths)
+    if not wide.isEmpty():
+        met, found_links = in_wide(wide, docs, reps, params, paths)
+        more, links = more.union(met).distinct(), links.union(found_links)
+    more = written(more.join(tried, ["a", "b"], "left_anti"), "more", paths)
+    more = verified(more, docs, params, paths)
     # The links found before are held by their components.
     links = written(links.union(more), "links", paths)
     parts = components(parts.select("id", "component").union(links), paths)

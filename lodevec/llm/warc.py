@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodevec.llm.common import drop_paths, new_path, text_bytes, written
-from lodevec.llm.exact_dedup import DedupParams, hit_filter, with_mark
+from lodevec.llm.exact_dedup import filter_bits, hit_filter, with_mark
 
 MAGIC = b"\x1f\x8b\x08"
 
@@ -31,12 +31,13 @@ MAGIC = b"\x1f\x8b\x08"
 @dataclass(frozen=True)
 class WarcParams:
     """archive_bytes: size at which a task starts another archive; range_bytes: of a reading task's share; window: bytes
-    fetched at a time; date: of all records, so reruns write the same bytes; least: payloads from this many bytes on may
-    be revisits."""
+    fetched at a time; tasks: most reading tasks, beyond which a task reads several ranges; date: of all records, so
+    reruns write the same bytes; least: payloads from this many bytes on may be revisits."""
 
     archive_bytes: int = 64 << 20
     range_bytes: int = 8 << 20
     window: int = 1 << 20
+    tasks: int = 20_000
     date: str = "2024-01-01T00:00:00Z"
     least: int = 0
     level: int = 6
@@ -44,13 +45,12 @@ class WarcParams:
 
 def with_types(pages: DataFrame, p: WarcParams, paths: list[str]) -> DataFrame:
     """(page_id, url, payload, refers_to, kind): which record is the response of its payload and which revisit it."""
-    filter_params = DedupParams()
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_bytes("html").alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
     may = rows.where(F.length("payload") >= p.least)
     hits = written(may.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "first"), "payloads", paths)
-    bits = written(hit_filter(hits, filter_params), "filter", paths)
-    marked = with_mark(rows, "digest", bits, filter_params)
+    bits = filter_bits(hits.count())
+    marked = with_mark(rows, "digest", written(hit_filter(hits, bits), "filter", paths), bits)
     alone = marked.where("not _maybe").withColumn("first", F.lit(None).cast("long"))
     joined = marked.where("_maybe").join(hits, "digest", "left").select(alone.columns)
     both = alone.unionByName(joined)
@@ -182,7 +182,9 @@ def read_archives(manifest: DataFrame, p: WarcParams, payloads: bool = True) ->
     contradicts its header's digest fails the read. payloads: whether to return them."""
     cuts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(p.range_bytes).cast("long"))
     ranges = manifest.where("bytes > 0").select("path", "bytes", F.explode(cuts).alias("start"))
-    ranges = ranges.repartition(F.xxhash64("path", "start"))
+    # The number is stated, so that no two ranges are put in one task for being short rows.
+    many = manifest.agg(F.sum(F.ceil(F.col("bytes") / p.range_bytes))).first()[0]
+    ranges = ranges.repartitionByRange(min(int(many or 1), p.tasks), "path", "start")
 
     def run(batches):
         for batch in batches:
@@ -219,10 +221,12 @@ def round_trip(pages: DataFrame, params: WarcParams = WarcParams()) -> DataFrame
     Null html is an empty payload; a null url leaves its field out. Of records with equal payloads the one with the
     largest page_id is the response; rows that repeat this page_id with this payload are responses as well. A null
     page_id comes back as null; it revisits where its payload has a page_id elsewhere, else it is a response. An empty
-    table gives no archive and an empty result.
+    table gives no archive and an empty result. The archives are deleted once they are read back.
     """
     spark, paths = pages.sparkSession, []
     folder = new_path(spark, "warc")
-    manifest = written(write_archives(with_types(pages, params, paths), folder, params), "manifest")
-    drop_paths(spark, paths)
-    return read_archives(manifest, params, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    manifest = written(write_archives(with_types(pages, params, paths), folder, params), "manifest", paths)
+    back = read_archives(manifest, params, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    back = written(back, "records")
+    drop_paths(spark, [*paths, folder])
+    return back
