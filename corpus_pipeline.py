@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodevec.llm.common import boxed, written
-from lodevec.llm.exact_dedup import DedupParams, exact_dedup, hit_filter, with_mark
+from lodevec.llm.exact_dedup import exact_dedup, filter_bits, hit_filter, with_mark
 from lodevec.llm.mixing import mix
 from lodevec.llm.near_dedup import near_dedup
 from lodevec.llm.pieces import PieceModel, encoded
@@ -37,10 +37,10 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id."""
     dropped = written(near_dedup(docs).where("not kept").select(F.col("doc_id").cast("long").alias("_dropped")).distinct(), "dropped")
-    # A filter of fixed size: texts of documents that it doesn't have stay where they are.
-    params = DedupParams()
-    bits = written(hit_filter(dropped.toDF("digest"), params), "filter")
-    marked = with_mark(boxed(docs, _id=F.col("doc_id").cast("long")), "_id", bits, params)
+    # A filter of bounded size: texts of documents that it doesn't have stay where they are.
+    bits = filter_bits(dropped.count())
+    passes = written(hit_filter(dropped.toDF("digest"), bits), "filter")
+    marked = with_mark(boxed(docs, _id=F.col("doc_id").cast("long")), "_id", passes, bits)
     sure, maybe = marked.where("not _maybe"), marked.where("_maybe")
     return sure.unionByName(maybe.join(dropped, F.col("_id") == F.col("_dropped"), "left_anti")).select("_row.*")
 
