@@ -14,12 +14,12 @@ from lodevec.plans.config import MAX_ID, IndexConfig, SearchParams, need
 from lodevec.sources.store import Store, manifest_of, manifest_text
 
 
-def dense_positions(rows: DataFrame, order: str) -> DataFrame:
+def dense_positions(rows: DataFrame, order: str, count: int | None = None) -> DataFrame:
     """rows with _pos, 0 to n - 1 by an order column (unique): counted in ranges of it, then offset by a small table of
     their sizes, so no task sees all rows. The ranges' bounds are read once from a sample: a row's range follows from its
-    value alone, and not from how a plan deals out or coalesces its partitions."""
+    value alone, and not from how a plan deals out or coalesces its partitions. count: the number of rows, if known."""
     parts, each = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 50
-    share = min(1.0, parts * each / max(rows.count(), 1))
+    share = min(1.0, parts * each / max(rows.count() if count is None else count, 1))
     sample = sorted(r[0] for r in rows.select(order).sample(share, 11).where(F.col(order).isNotNull()).collect())
     bounds = F.array(*map(F.lit, sample[each::each])).cast(f"array<{rows.schema[order].dataType.simpleString()}>")
     ranged = rows.withColumn("_part", F.size(F.filter(bounds, lambda x: x < F.col(order))))
