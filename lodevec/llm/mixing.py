@@ -54,8 +54,9 @@ def source_targets(totals: DataFrame, p: MixParams) -> DataFrame:
     the cap leave over is shared anew by weight until none is above; a round is an aggregate of one row.
     """
     # Strings order by their UTF-8 bytes, which is by code point.
-    named = dense_positions(totals.where("source is not null"), "source").withColumnRenamed("_pos", "sid")
-    both = named.unionByName(totals.where("source is null").withColumn("sid", F.lit(named.count()).cast("long")))
+    named = totals.where("source is not null")
+    last = totals.agg(F.count("source")).first()[0]
+    both = dense_positions(named, "source", last).withColumnRenamed("_pos", "sid").unionByName(totals.where("source is null").withColumn("sid", F.lit(last).cast("long")))
     weight = F.element_at(F.array(*map(F.lit, p.weights)), (F.col("sid") % len(p.weights) + 1).cast("int")).cast("double")
     t = both.withColumn("w", weight).withColumn("cap", (F.col("source_size") * p.most).cast("double"))
     level, n = None, -1
@@ -152,20 +153,20 @@ def fitted(rows: DataFrame, targets: DataFrame, paths: list[str]) -> tuple[DataF
     """
     chosen_sql = """aggregate(list, named_struct('left', rest, 'took', cast(array() as array<struct<doc:bigint,size:bigint>>)),
         (a, x) -> if(x.words <= a.left, named_struct('left', a.left - x.words, 'took', concat(a.took, array(x.unit))), a))"""
-    state = targets.where("more > 0").select("sid", F.lit(-1).cast("long").alias("after"), F.col("more").alias("left"))
+    state = targets.where("more >= 1").select("sid", F.lit(-1).cast("long").alias("after"), F.col("more").alias("left"))
     rounds, chosen = [], []
-    while not (state := written(state, "left", paths)).isEmpty():
+    while not state.isEmpty():
         fit = rows.join(state, "sid").where("rank > after and size <= left")
         lanes = fit.groupBy("sid", "lane").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
-        cut_lane = written(first_over(lanes, "lane"), "lane", paths)
-        inside = fit.drop("left").join(cut_lane.withColumnRenamed("rest", "left"), ["sid", "lane"])
+        inside = fit.drop("left").join(first_over(lanes, "lane").withColumnRenamed("rest", "left"), ["sid", "lane"])
         cut = written(first_over(inside.groupBy("sid", "rank").agg(F.sum("size").alias("words"), F.first("left").alias("left")), "rank"), "cut", paths)
-        units = inside.join(cut, ["sid", "rank"]).groupBy("sid", "rank", "rest", F.struct("doc", "size").alias("unit")).agg(F.sum("size").alias("words"))
+        units = rows.join(cut, ["sid", "rank"]).where("size <= rest").groupBy("sid", "rank", "rest", F.struct("doc", "size").alias("unit")).agg(F.sum("size").alias("words"))
         lists = units.groupBy("sid", "rank").agg(F.first("rest").alias("rest"), F.sort_array(F.collect_list(F.struct("words", "unit")), asc=False).alias("list"))
-        took = written(lists.select("sid", "rank", F.expr(chosen_sql).alias("c")).select("sid", "rank", "c.left", "c.took"), "took", paths)
         rounds.append(state.join(cut.select("sid", F.col("rank").alias("cut")), "sid", "left").select("sid", "after", "cut", "left"))
+        lists = cut.join(lists.drop("rest"), ["sid", "rank"], "left").withColumn("list", F.coalesce("list", F.expr("cast(array() as array<struct<words:bigint,unit:struct<doc:bigint,size:bigint>>>)")))
+        took = written(lists.select("sid", "rank", F.expr(chosen_sql).alias("c")).select("sid", "rank", "c.left", "c.took"), "took", paths)
         chosen.append(took.select("sid", F.explode("took").alias("u")).select("sid", "u.doc", "u.size"))
-        state = took.select("sid", F.col("rank").alias("after"), "left")
+        state = took.where("left >= 1").select("sid", F.col("rank").alias("after"), "left")
     empty = rows.sparkSession.createDataFrame([], "sid long, after long, cut long, left double, doc long, size long")
     every, took = empty.select("sid", "after", "cut", "left"), empty.select("sid", "doc", "size")
     for a, b in zip(rounds, chosen):
