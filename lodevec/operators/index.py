@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodevec.operators import quantizer, router, search
 from lodevec.plans.config import MAX_ID, IndexConfig, SearchParams, need
-from lodevec.sources.store import Store, manifest_of, manifest_text
+from lodevec.sources.store import FILE, PART, Store, manifest_of, manifest_text
 
 
 def dense_positions(rows: DataFrame, order: str, count: int | None = None) -> DataFrame:
@@ -30,9 +30,14 @@ def dense_positions(rows: DataFrame, order: str, count: int | None = None) -> Da
 
 
 def append_offsets(assigned: DataFrame, sizes: DataFrame) -> DataFrame:
-    """assigned (id, list_no, ...) with offset: the list's size so far plus the row's rank by id in the batch."""
-    rank = F.row_number().over(W.partitionBy("list_no").orderBy("id"))
-    return assigned.withColumn("_rank", rank).join(sizes, "list_no", "left").withColumn("offset", (F.coalesce("size", F.lit(0)) + F.col("_rank") - 1).cast("long")).drop("_rank", "size")
+    """assigned (id, list_no, ...) with offset: the list's size so far plus the row's rank by id in the batch. Rows are
+    ranked in runs of ids and the runs' sizes summed up, so that no task sees all rows of a long list."""
+    runs = assigned.withColumn("_run", F.floor(F.col("id") / FILE))
+    counts = runs.groupBy("list_no", "_run").agg(F.count(F.lit(1)).alias("_n"))
+    order = W.partitionBy("list_no").orderBy("_run")
+    starts = counts.join(sizes, "list_no", "left").select("list_no", "_run", (F.coalesce("size", F.lit(0)) + F.sum("_n").over(order) - F.col("_n")).alias("_start"))
+    ranked = runs.withColumn("_rank", F.row_number().over(W.partitionBy("list_no", "_run").orderBy("id")))
+    return ranked.join(starts, ["list_no", "_run"]).withColumn("offset", (F.col("_start") + F.col("_rank") - 1).cast("long")).drop("_rank", "_run", "_start")
 
 
 def append_pages(sizes: DataFrame, per_page: int) -> DataFrame:
@@ -53,6 +58,24 @@ def swap_plan(deleted: DataFrame, rows: DataFrame) -> DataFrame:
     return holes.join(sources, ["list_no", "i"]).select("list_no", "id", "from_offset", "to_offset")
 
 
+def delete_pages(deleted: DataFrame, moves: DataFrame, sizes: DataFrame, per_page: int) -> DataFrame:
+    """(list_no, deleted, moved, pages_read, pages_written) of a delete. deleted: (list_no, offset); moves: (list_no,
+    from_offset, to_offset); sizes: (list_no, size) before it.
+
+    Read are the pages of deleted rows, of both ends of moves and the page that becomes the last one unless it is full;
+    written those where rows move to, and that last page, as its end is cleared. Lists without a deleted row get no row.
+    """
+    page = lambda c: F.floor(F.col(c) / per_page).cast("long").alias("page")
+    counts = deleted.groupBy("list_no").agg(F.count(F.lit(1)).alias("deleted"))
+    after = counts.join(sizes, "list_no").withColumn("left", F.col("size") - F.col("deleted"))
+    last = after.where(F.col("left") % per_page != 0).select("list_no", page("left"))
+    writes = moves.select("list_no", page("to_offset")).union(last).distinct()
+    reads = writes.union(moves.select("list_no", page("from_offset"))).union(deleted.select("list_no", page("offset"))).distinct()
+    number = lambda frame, name: frame.groupBy("list_no").agg(F.count(F.lit(1)).alias(name))
+    out = counts.join(number(moves, "moved"), "list_no", "left").join(number(reads, "pages_read"), "list_no", "left").join(number(writes, "pages_written"), "list_no", "left")
+    return out.na.fill(0).select("list_no", "deleted", "moved", "pages_read", "pages_written")
+
+
 class VectorIndex:
     """One index in a folder. Changes are made by one process at a time; readers keep the generation they opened."""
 
@@ -68,7 +91,7 @@ class VectorIndex:
         """An empty index; the folder must not hold one."""
         store = Store(spark, root)
         need(store.read_text("manifest.json") is None, "an index is here already")
-        return VectorIndex(store, config, None, None, {"version": 1, "generation": 0, "next_id": 0, "lists": {}, "sizes": {}})
+        return VectorIndex(store, config, None, None, {"version": 2, "generation": 0, "next_id": 0, "lists": {}, "parts": {}, "sizes": {}})
 
     @staticmethod
     def open(spark: SparkSession, root: str) -> VectorIndex:
@@ -82,6 +105,7 @@ class VectorIndex:
         for table in ("postings", "records"):
             counts = {r.list_no: r.n for r in store.read(table, manifest["lists"]).groupBy("list_no").agg(F.count(F.lit(1)).alias("n")).collect()}
             need(counts == {k: n for k, n in manifest["sizes"].items() if n}, f"{table} don't match the manifest")
+        need(index.locations().count() == index.size(), "the directory doesn't match the manifest")
         return index
 
     def fit(self, vectors: DataFrame, model: quantizer.Quantizer | None = None) -> VectorIndex:
@@ -117,16 +141,29 @@ class VectorIndex:
     def records(self, lists: list[int] | None = None) -> DataFrame:
         return self.store.read("records", self._gens(lists))
 
-    def locations(self) -> DataFrame:
-        """(id, list_no, offset) of all rows there are."""
-        return self.records().select("id", "list_no", "offset")
+    def locations(self, parts: list[int] | None = None) -> DataFrame:
+        """(id, list_no, offset) of all rows there are, from the directory."""
+        held = {k: v for k, v in self.manifest["parts"].items() if parts is None or k in parts}
+        return self.store.read("locations", held).select("id", "list_no", "offset")
+
+    def _parts_of(self, ids: DataFrame) -> list[int]:
+        """Parts of the directory that hold ids (id); at most as many as there are parts."""
+        return [r.part for r in ids.select(F.floor(F.col("id") / PART).cast("int").alias("part")).where("part is not null").distinct().collect()]
 
     def locate(self, ids: DataFrame) -> DataFrame:
-        """ids (id) with list_no and offset, null where deleted; an id that was never given fails."""
-        found = ids.select(F.col("id").cast("long").alias("id")).join(self.locations(), "id", "left")
+        """ids (id) with list_no and offset, null where deleted; an id that was never given fails. Only the parts of the
+        directory that hold an id are read."""
+        wanted = ids.select(F.col("id").cast("long").alias("id"))
+        found = wanted.join(self.locations(self._parts_of(wanted)), "id", "left")
         known = (F.col("id") >= 0) & (F.col("id") < self.next_id())
         return found.withColumn("id", F.when(known, F.col("id")).otherwise(F.raise_error(F.lit("unknown id")).cast("long")))
 
+    def ids_at(self, places: DataFrame) -> DataFrame:
+        """places (list_no, offset) with the id there; a place that no row has fails."""
+        lists = [r.list_no for r in places.select("list_no").distinct().collect()]
+        found = places.join(self.records(lists).select("list_no", "offset", "id"), ["list_no", "offset"], "left")
+        return found.withColumn("id", F.when(F.col("id").isNotNull(), F.col("id")).otherwise(F.raise_error(F.lit("no such offset")).cast("long")))
+
     def _gens(self, lists: list[int] | None) -> dict[int, list[int]]:
         return {k: v for k, v in self.manifest["lists"].items() if v and (lists is None or k in lists)}
 
@@ -143,19 +180,23 @@ class VectorIndex:
         placed = dense_positions(vectors.select(*columns), order).withColumn("_id", F.col("_pos") + self.next_id())
         batch = placed.select(F.col("_id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col(payload).cast("array<float>").alias("payload"))
         stage = f"{self.store.root}/stage/gen={gen}"
-        batch.write.mode("overwrite").parquet(stage)  # ids are given once
-        coded = quantizer.encode(router.assign(self.spark.read.schema(batch.schema).parquet(stage), self.centroids), self.model)
-        rows = append_offsets(coded, self.sizes())
+        batch.write.mode("overwrite").parquet(f"{stage}/batch")  # ids are given once, and so are places
+        coded = quantizer.encode(router.assign(self.spark.read.schema(batch.schema).parquet(f"{stage}/batch"), self.centroids), self.model)
+        placed = append_offsets(coded, self.sizes()).drop("embedding")
+        placed.write.mode("overwrite").parquet(f"{stage}/placed")
+        rows = self.spark.read.schema(placed.schema).parquet(f"{stage}/placed")
+        added = {r.list_no: r.n for r in rows.groupBy("list_no").agg(F.count(F.lit(1)).alias("n")).collect()}
+        need(sum(added.values()) == count, "rows were lost on the way")
         self.store.write("postings", gen, rows.select("list_no", "offset", "code", "norm_c", "scale_c", "err_c"))
         per_page = self.config.records_per_page
         self.store.write("records", gen, rows.select("list_no", "offset", F.floor(F.col("offset") / per_page).alias("page_no"), "id", "payload"))
-        added = {r.list_no: r.n for r in self.store.read("postings", {k: [gen] for k in range(self.config.nlist)}).groupBy("list_no").agg(F.count(F.lit(1)).alias("n")).collect()}
-        lists = {k: list(v) for k, v in self.manifest["lists"].items()}
-        for k in added:
-            lists.setdefault(k, []).append(gen)
+        self.store.write("locations", gen, rows.select(F.floor(F.col("id") / PART).cast("int").alias("part"), "id", "list_no", "offset"))
+        lists = {k: [*self.manifest["lists"].get(k, []), *([gen] if k in added else [])] for k in {*self.manifest["lists"], *added}}
+        new = range(self.next_id() // PART, (self.next_id() + count - 1) // PART + 1)
+        parts = {k: [*self.manifest["parts"].get(k, []), *([gen] if k in new else [])] for k in {*self.manifest["parts"], *new}}
         sizes = {k: self.manifest["sizes"].get(k, 0) + added.get(k, 0) for k in {*self.manifest["sizes"], *added}}
         self.store.fs.delete(self.store.path(f"{self.store.root}/stage"), True)
-        self.manifest = self.manifest | {"generation": gen, "next_id": self.next_id() + count, "lists": lists, "sizes": sizes}
+        self.manifest = self.manifest | {"generation": gen, "next_id": self.next_id() + count, "lists": lists, "parts": parts, "sizes": sizes}
         return count
 
     def erase(self, ids: DataFrame) -> int:
@@ -167,27 +208,42 @@ class VectorIndex:
             return 0
         need(count == distinct, "an id is null or named twice")
         need(count <= self.size(), "more ids than rows")
-        where = self.locations().join(wanted, "id")
-        hit = {r.list_no: r.n for r in where.groupBy("list_no").agg(F.count(F.lit(1)).alias("n")).collect()}
+        deleted = self.locations(self._parts_of(wanted)).join(wanted, "id")
+        hit = {r.list_no: r.n for r in deleted.groupBy("list_no").agg(F.count(F.lit(1)).alias("n")).collect()}
         need(sum(hit.values()) == count, "an id is unknown or deleted")
         gen = self.manifest["generation"] + 1
         old = self.records(list(hit))
         rows = old.select("list_no", "offset", "id")
-        deleted = rows.join(wanted, "id", "left_semi").select("list_no", "offset", "id")
-        moves = swap_plan(deleted, rows).select("list_no", F.col("from_offset").alias("offset"), "to_offset")
-        gone = deleted.select("list_no", "offset")
-        keep = lambda table: table.join(gone, ["list_no", "offset"], "left_anti").join(moves, ["list_no", "offset"], "left").withColumn("offset", F.coalesce("to_offset", "offset")).drop("to_offset")
+        moves = swap_plan(deleted.select("list_no", "offset", "id"), rows)
+        # Directory and records must agree on what goes and what moves, before anything is written.
+        places = deleted.select("list_no", "offset", "id").unionByName(moves.select("list_no", F.col("from_offset").alias("offset"), "id"))
+        need(places.join(rows, ["list_no", "offset", "id"], "left_anti").isEmpty(), "the directory disagrees with the records")
+        touched = self._parts_of(places)
+        held = self.locations(touched)
+        need(places.join(held, ["list_no", "offset", "id"], "left_anti").isEmpty(), "the directory disagrees with a moved row")
+        gone, to = deleted.select("list_no", "offset"), moves.select("list_no", F.col("from_offset").alias("offset"), "to_offset")
+        keep = lambda table: table.join(gone, ["list_no", "offset"], "left_anti").join(to, ["list_no", "offset"], "left").withColumn("offset", F.coalesce("to_offset", "offset")).drop("to_offset")
         self.store.write("postings", gen, keep(self.postings(list(hit))))
         self.store.write("records", gen, keep(old).withColumn("page_no", F.floor(F.col("offset") / self.config.records_per_page)))
+        stay = held.join(wanted, "id", "left_anti").join(moves.select("id", "to_offset"), "id", "left").withColumn("offset", F.coalesce("to_offset", "offset"))
+        self.store.write("locations", gen, stay.select(F.floor(F.col("id") / PART).cast("int").alias("part"), "id", "list_no", "offset"))
         sizes = {k: n - hit.get(k, 0) for k, n in self.manifest["sizes"].items()}
         lists = {k: ([gen] if sizes[k] else []) if k in hit else v for k, v in self.manifest["lists"].items()}
-        self.manifest = self.manifest | {"generation": gen, "lists": lists, "sizes": sizes}
+        parts = {k: [gen] if k in touched else v for k, v in self.manifest["parts"].items()}
+        self.manifest = self.manifest | {"generation": gen, "lists": lists, "parts": parts, "sizes": sizes}
         return count
 
+    def erase_stats(self, ids: DataFrame) -> DataFrame:
+        """(list_no, deleted, moved, pages_read, pages_written) that erasing ids would take; nothing is changed."""
+        wanted = ids.select(F.col("id").cast("long").alias("id"))
+        deleted = self.locations(self._parts_of(wanted)).join(wanted, "id").select("list_no", "offset", "id")
+        lists = [r.list_no for r in deleted.select("list_no").distinct().collect()]
+        return delete_pages(deleted, swap_plan(deleted, self.records(lists).select("list_no", "offset", "id")), self.sizes(), self.config.records_per_page)
+
     def checkpoint(self) -> None:
         """Publish the present state: the manifest comes last; generations that no list needs are deleted after it."""
         self.store.write_text("manifest.json", manifest_text(self.manifest))
-        self.store.drop_unused({g for gens in self.manifest["lists"].values() for g in gens})
+        self.store.drop_unused({g for name in ("lists", "parts") for gens in self.manifest[name].values() for g in gens})
 
     def search(self, queries: DataFrame, params: SearchParams = SearchParams(), exact=None) -> DataFrame:
         """(qid, rank, id, distance) of queries (qid, qv)."""
@@ -198,11 +254,13 @@ class VectorIndex:
         return self.spark.createDataFrame([], "qid long, rank int, id long, distance double") if out is None else out
 
     def search_stats(self, queries: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
-        """(qid, probed_lists, scanned, padded, candidates, candidate_lists, pages, requests) of a search."""
+        """(qid, probed_lists, scanned, padded, candidates, candidate_lists, pages, requests, requested_bytes,
+        opened_files) of a search."""
         out = None
         for scanned, candidates, _, _ in self._selected(queries, params):
             found = candidates.groupBy("qid").agg(F.count(F.lit(1)).alias("candidates"), F.count_distinct("list_no").alias("candidate_lists"))
             part = scanned.groupBy("qid").agg(F.count(F.lit(1)).alias("probed_lists"), F.sum("size").alias("scanned"), F.sum(F.ceil(F.col("size") / 32) * 32).alias("padded")).join(found, "qid", "left").join(search.read_plan(candidates, self.config.records_per_page), "qid", "left")
+            part = part.withColumn("requested_bytes", F.col("pages") * self.config.page_bytes).withColumn("opened_files", F.col("candidate_lists"))
             out = part if out is None else out.union(part)
         return out
 

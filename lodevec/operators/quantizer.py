@@ -64,14 +64,19 @@ def kmeans(x: np.ndarray, k: int, seed: int, steps: int = 20) -> np.ndarray:
     centroids = x[draw.permutation(len(x))[:k]].astype(np.float64)
     if len(centroids) < k:
         centroids = np.concatenate([centroids, np.repeat(centroids[-1:], k - len(centroids), 0)])
+    step = max(1, (1 << 22) // max(k, 1))  # rows at a time, so that memory doesn't grow with rows x k
     for _ in range(steps):
-        gap = (x * x).sum(1)[:, None] - 2 * x @ centroids.T + (centroids * centroids).sum(1)
-        cell = gap.argmin(1)
+        cell, least = np.zeros(len(x), np.int64), np.zeros(len(x))
+        for at in range(0, len(x), step):
+            part = x[at : at + step]
+            gap = (part * part).sum(1)[:, None] - 2 * part @ centroids.T + (centroids * centroids).sum(1)
+            cell[at : at + step] = near = gap.argmin(1)
+            least[at : at + step] = gap[np.arange(len(part)), near]
         counts = np.bincount(cell, minlength=k)
         sums = np.zeros_like(centroids)
         np.add.at(sums, cell, x)
         new = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centroids)
-        far = np.argsort(-gap[np.arange(len(x)), cell], kind="stable")
+        far = np.argsort(-least, kind="stable")
         for i, empty in enumerate(np.flatnonzero(counts == 0)[: len(far)]):
             new[empty] = x[far[i]]
         if np.allclose(new, centroids):
@@ -302,6 +307,21 @@ def layout_frame(vectors: DataFrame, model: Quantizer) -> DataFrame:
     return vectors.sparkSession.createDataFrame(rows, "group int, dimension int, bits double")
 
 
+def group_loads(vectors: DataFrame, model: Quantizer) -> DataFrame:
+    """(group, dimensions, bits): the bits that each group's dimensions ask for; the aim is 4."""
+    return layout_frame(vectors, model).groupBy("group").agg(F.count(F.lit(1)).alias("dimensions"), F.sum("bits").alias("bits"))
+
+
+def buckets(model: Quantizer) -> list[dict[str, int]]:
+    """Runs of groups of one width: dimensions of a group, groups, the first one and the first byte of its codes."""
+    widths, out = [len(d) for d in model.dims], []
+    for g, width in enumerate(widths):
+        if g == 0 or width != widths[g - 1]:
+            out.append({"dimensions": width, "groups": 0, "first_group": g, "code_offset": g // 2})
+        out[-1]["groups"] += 1
+    return out
+
+
 def packed(codes: np.ndarray) -> np.ndarray:
     """Two codes a byte: the even group in the low half."""
     return (codes[:, 0::2] | (codes[:, 1::2] << 4)).astype(np.uint8)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodevec.operators.quantizer import kmeans, matrix, squares, training_rows
+from lodevec.operators.quantizer import kmeans, matrix, training_rows
 from lodevec.plans.config import IndexConfig, need
 
 
@@ -23,9 +23,15 @@ def train_centroids(vectors: DataFrame, config: IndexConfig) -> np.ndarray:
     return centroids
 
 
-def to_centroids(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """Squared distances, rows x lists, in index order; a few rows at a time."""
-    return np.concatenate([squares(x[at : at + 256, None] - centroids[None]) for at in range(0, len(x), 256)]) if len(x) else np.zeros((0, len(centroids)))
+def to_centroids(x: np.ndarray, centroids: np.ndarray, cells: int = 1 << 22) -> np.ndarray:
+    """Squared distances, rows x lists, summed in index order; rows at a time such that there are about so many cells."""
+    out, rows = np.zeros((len(x), len(centroids))), max(1, cells // max(1, len(centroids)))
+    for at in range(0, len(x), rows):
+        for d in range(x.shape[1]):
+            gap = x[at : at + rows, d, None] - centroids[None, :, d]
+            gap *= gap
+            out[at : at + rows] += gap
+    return out
 
 
 def assign(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
@@ -35,8 +41,11 @@ def assign(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            near = to_centroids(matrix(batch.column(place), centroids.shape[1]), centroids).argmin(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], [*batch.schema.names, "list_no"])
+            step = max(1, (1 << 22) // len(centroids))  # a few rows at a time, so memory doesn't grow with rows x lists
+            for at in range(0, len(batch), step):
+                part = batch.slice(at, step)
+                near = to_centroids(matrix(part.column(place), centroids.shape[1]), centroids).argmin(1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near.astype(np.int32))], [*batch.schema.names, "list_no"])
 
     return vectors.mapInArrow(run, schema)
 

@@ -68,24 +68,42 @@ def top(rows: DataFrame, k: int, by: str = "distance", tie: str = "id") -> DataF
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def rough_distances(metric: str, q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances, queries x rows, as one matrix product, and how far each query's may be off."""
+    dots, size = q @ x.T, np.sqrt((x * x).sum(1))
+    length = np.sqrt((q * q).sum(1))
+    if metric == "cosine":
+        return np.where((length[:, None] == 0) | (size == 0), 1.0, 1.0 - dots / np.maximum(length[:, None] * size, 1e-300)), np.full(len(q), 1e-9)
+    off = 1e-12 * (1.0 + (length + size.max(initial=0.0)) ** 2)
+    return (-dots, off) if metric == "ip" else (length[:, None] ** 2 - 2 * dots + size**2, off)
+
+
 def exact_knn(vectors: DataFrame, queries: DataFrame, dimension: int, k: int = 10, metric: str = "l2", block: int = 2_048) -> DataFrame:
-    """(qid, rank, id, distance): the k nearest rows of vectors (id, embedding) for each query (qid, qv), all rows seen."""
+    """(qid, rank, id, distance): the k nearest rows of vectors (id, embedding) for each query (qid, qv), all rows seen.
+
+    A matrix product finds the rows that can be among the k nearest; only those are measured exactly.
+    """
     out = None
     for b in query_blocks(queries, dimension, block):
 
         def run(batches, b=b):
             best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for batch in batches:
-                ids, x = batch.column(0).to_numpy(), matrix(batch.column(1), dimension)
-                for i in range(len(b.qid)):
-                    d = exact_distances(metric, b.qv[i], x)
-                    keep = smallest(d, ids, k)
-                    d, own = d[keep], ids[keep]
-                    if i in best:
-                        d, own = np.concatenate([best[i][0], d]), np.concatenate([best[i][1], own])
-                        keep = smallest(d, own, k)
-                        d, own = d[keep], own[keep]
-                    best[i] = d, own
+                for at in range(0, len(batch), 1_000):
+                    part = batch.slice(at, 1_000)
+                    ids, x = part.column(0).to_numpy(), matrix(part.column(1), dimension)
+                    rough, off = rough_distances(metric, b.qv, x)
+                    edge = np.partition(rough, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1] + 2 * off
+                    for i in range(len(b.qid)):
+                        # A row beyond the k-th best of the rows before it can't be among the k nearest either.
+                        most = min(edge[i], best[i][0].max() + 2 * off[i]) if i in best and len(best[i][0]) >= k else edge[i]
+                        near = np.flatnonzero(rough[i] <= most)
+                        if len(near):
+                            d, own = exact_distances(metric, b.qv[i], x[near]), ids[near]
+                            if i in best:
+                                d, own = np.concatenate([best[i][0], d]), np.concatenate([best[i][1], own])
+                            keep = smallest(d, own, k)
+                            best[i] = d[keep], own[keep]
             if best:
                 n = [len(best[i][0]) for i in best]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.qid[list(best)], n)), pa.array(np.concatenate([v[1] for v in best.values()])), pa.array(np.concatenate([v[0] for v in best.values()]))], ["qid", "id", "distance"])
@@ -105,13 +123,13 @@ def probes_with_tokens(probes: DataFrame, sizes: DataFrame) -> DataFrame:
     return held.withColumn("end", end).withColumn("begin", F.col("end") - F.col("size"))
 
 
-def estimates(postings: DataFrame, model: Quantizer, block: QueryBlock, probes: dict[int, dict[int, int]]) -> DataFrame:
+def estimates(postings: DataFrame, model: Quantizer, block: QueryBlock, probes: dict[int, dict[int, int]], lut: str = "exact") -> DataFrame:
     """(qid, list_no, offset, token, est, unc) of all probed rows: for small inputs and tests; a search selects in the
     scan. probes: for each place of a query its lists, each with the token of its first row."""
-    return _scan(postings, model, block, probes, None)
+    return _scan(postings, model, block, probes, None, lut=lut)
 
 
-def _scan(postings: DataFrame, model: Quantizer, block: QueryBlock, probes: dict[int, dict[int, int]], params: SearchParams | None, theta: dict[int, float] | None = None) -> DataFrame:
+def _scan(postings: DataFrame, model: Quantizer, block: QueryBlock, probes: dict[int, dict[int, int]], params: SearchParams | None, theta: dict[int, float] | None = None, lut: str = "exact") -> DataFrame:
     """params: keep what may matter to a selection (None: all rows). theta: by query id, keep rows whose lower end is at
     most this instead."""
     query = model.query(block.qv)
@@ -130,7 +148,7 @@ def _scan(postings: DataFrame, model: Quantizer, block: QueryBlock, probes: dict
                 rows = np.flatnonzero(lists == list_no)
                 own = codes[rows], [x[rows] for x in meta]
                 for i, begin in wanted.get(int(list_no), ()):
-                    est, unc = model.estimates(query, i, *own, params.lut if params else "exact")
+                    est, unc = model.estimates(query, i, *own, params.lut if params else lut)
                     token = begin + offsets[rows]
                     found = np.rec.fromarrays([np.full(len(rows), block.qid[i]), lists[rows].astype(np.int32), offsets[rows], token, est, unc], names="qid,list_no,offset,token,est,unc")
                     if theta is not None:
@@ -174,7 +192,7 @@ def interval_select(estimated: DataFrame, params: SearchParams, strict: bool = T
     """Candidates among estimates (qid, token, est, unc, further columns), with rank by (est, token) and theta.
 
     theta is the k-th smallest upper end over all rows of the query; of the limit rows with the smallest (est, token)
-    those stay whose lower end is at most theta. strict: queries with fewer than k rows get no candidates.
+    those stay whose lower end is at most theta. strict: a query with fewer than k rows fails.
     """
     p = params
     rows = estimated.withColumn("est", F.when(F.isnan("est"), float("inf")).otherwise(F.col("est")))
@@ -182,7 +200,7 @@ def interval_select(estimated: DataFrame, params: SearchParams, strict: bool = T
     ranked = rows.withColumn("_place", F.row_number().over(W.partitionBy("qid").orderBy("_upper", "token"))).where(F.col("_place") <= p.k)
     theta = ranked.groupBy("qid").agg(F.max("_upper").alias("theta"), F.count(F.lit(1)).alias("_seen"))
     if strict:
-        theta = theta.where(F.col("_seen") >= p.k)
+        theta = theta.withColumn("theta", F.when(F.col("_seen") >= p.k, F.col("theta")).otherwise(F.raise_error(F.lit("fewer rows than k were scanned")).cast("double")))
     short = rows
     if p.limit:
         short = rows.withColumn("_place", F.row_number().over(W.partitionBy("qid").orderBy("est", "token"))).where(F.col("_place") <= p.limit).drop("_place")
@@ -192,11 +210,14 @@ def interval_select(estimated: DataFrame, params: SearchParams, strict: bool = T
 
 def refine(candidates: DataFrame, records: DataFrame, queries: DataFrame, params: SearchParams, metric: str, exact=None) -> DataFrame:
     """(qid, rank, id, distance): candidates (qid, list_no, offset) by exact distance, then id. exact: an own function
-    of the query's and the record's vector columns; distances must be finite, and not negative but for ip."""
+    of the query's and the record's vector columns; distances must be finite, and not negative but for ip. A query with
+    fewer than k candidates fails."""
     joined = candidates.select("qid", "list_no", "offset").join(records.select("list_no", "offset", "id", "payload"), ["list_no", "offset"]).join(queries.select("qid", "qv"), "qid")
     value: Column = exact(F.col("qv"), F.col("payload")) if exact else distance(metric, F.col("qv"), F.col("payload"))
     bad = F.isnan(value) | (F.abs(value) == float("inf")) | ((value < 0) if metric != "ip" else F.lit(False))
     checked = joined.select("qid", "id", F.when(bad, F.raise_error(F.lit("an exact distance is negative or not finite")).cast("double")).otherwise(value).alias("distance"))
+    few = F.count(F.lit(1)).over(W.partitionBy("qid")) < params.k
+    checked = checked.withColumn("distance", F.when(few, F.raise_error(F.lit("fewer candidates than k")).cast("double")).otherwise(F.col("distance")))
     return top(checked, params.k).select("qid", "rank", "id", "distance")
 
 

@@ -34,7 +34,7 @@ def group_sizes(budgets: np.ndarray, groups: int, max_dims: int = 0) -> np.ndarr
 
     def cost(h: np.ndarray) -> float:
         sizes = np.repeat(h, 2)
-        loads = np.bincount(dims_to_groups(budgets, sizes, swaps=0), budgets, len(sizes))
+        loads = np.bincount(dims_to_groups(budgets, sizes), budgets, len(sizes))
         return float(((loads - BITS) ** 2).sum())
 
     best = cost(half)

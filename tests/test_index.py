@@ -92,6 +92,66 @@ def test_index_life(spark, e, q, rows, tmp_path, kind):
     assert VectorIndex.open(spark, str(tmp_path / "i")).size() == 200
 
 
+def test_many_rows_are_all_stored(spark, tmp_path):
+    """Several files and parts of a list: what insert returns is what is there, ids are 0 to n - 1."""
+    n = 400_000
+    many = spark.range(0, n, 1, 8).select((F.col("id") * 3 + 1).alias("id"), F.array(*(((F.col("id") * k) % 97).cast("float") for k in (1, 5, 11, 31))).alias("embedding"))
+    made = VectorIndex.create(spark, str(tmp_path / "many"), IndexConfig(4, 2)).fit(many.where("id < 3000"))
+    assert made.insert(many) == n == made.size() == made.next_id()
+    one = made.locations().agg(F.count(F.lit(1)), F.count_distinct("id"), F.min("id"), F.max("id")).first()
+    assert tuple(one) == (n, n, 0, n - 1)
+    places = made.records().groupBy("list_no").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("offset").alias("d"), F.min("offset").alias("low"), F.max("offset").alias("high"))
+    assert places.where("n <> d or low <> 0 or high <> n - 1").isEmpty() and made.postings().count() == n
+    # The directory agrees with the records, before and after rows are erased and swapped.
+    agree = lambda: made.locations().join(made.records().select("id", "list_no", "offset"), ["id", "list_no", "offset"]).count() == made.size()
+    assert agree() and made.erase(spark.range(0, n, 7).toDF("id")) == -(-n // 7) and agree()
+    by_id = made.records().select("id", F.col("payload")[0].alias("x")).where("x <> id % 97")
+    assert by_id.isEmpty()
+
+
+def test_directory(spark, e, tmp_path):
+    made = VectorIndex.create(spark, str(tmp_path / "d"), IndexConfig(8, 4)).fit(e)
+    made.insert(e)
+    where = {r.id: (r.list_no, r.offset) for r in made.locations().collect()}
+    asked = spark.createDataFrame([(3,), (299,), (3,)], "id long")
+    assert sorted((r.id, (r.list_no, r.offset)) for r in made.locate(asked).collect()) == [(3, where[3]), (3, where[3]), (299, where[299])]
+    with pytest.raises(Exception, match="unknown id"):
+        made.locate(spark.range(300, 301)).collect()
+    back = made.ids_at(spark.createDataFrame([where[5], where[250]], "list_no int, offset long"))
+    assert sorted(r.id for r in back.collect()) == [5, 250]
+    with pytest.raises(Exception, match="no such offset"):
+        made.ids_at(spark.createDataFrame([(where[5][0], 10_000)], "list_no int, offset long")).collect()
+    gone = spark.range(0, 300, 4)
+    stats = {r.list_no: r for r in made.erase_stats(gone).collect()}
+    assert sum(r.deleted for r in stats.values()) == 75 and all(r.moved <= r.deleted and r.pages_written <= r.pages_read for r in stats.values())
+    # A directory that disagrees with the records stops a delete before anything is written.
+    at = made.manifest
+    wrong = made.locations().withColumn("offset", F.when(F.col("id") == 4, 10_000).otherwise(F.col("offset")))
+    made.store.write("locations", 99, wrong.withColumn("part", F.lit(0)).select("part", "id", "list_no", "offset"))
+    made.manifest = at | {"parts": {0: [99]}}
+    with pytest.raises(ValueError, match="disagrees"):
+        made.erase(gone)
+    made.manifest = at
+    assert made.erase(gone) == 75
+    assert {r.id for r in made.locate(spark.range(300)).where("list_no is null").collect()} == set(range(0, 300, 4))
+
+
+def test_candidates_must_be_enough(spark, e, q):
+    few = q.where("qid = 0").select("qid", F.lit(0).alias("list_no"), F.lit(0).cast("long").alias("offset"))
+    records = e.select(F.lit(0).alias("list_no"), F.col("id").alias("offset"), "id", F.col("embedding").alias("payload"))
+    with pytest.raises(Exception, match="fewer candidates than k"):
+        search.refine(few, records, q, SearchParams(2, 1), "l2").collect()
+
+
+def test_buckets_of_an_uneven_layout(e):
+    model = quantizer.train(e, IndexConfig(8, 4, grouping="uneven"))
+    held = quantizer.buckets(model)
+    assert sum(b["groups"] * b["dimensions"] for b in held) == 8 and sum(b["groups"] for b in held) == 4
+    assert [b["code_offset"] for b in held] == [b["first_group"] // 2 for b in held]
+    loads = quantizer.group_loads(e, model).collect()
+    assert sorted(r.group for r in loads) == [0, 1, 2, 3] and abs(sum(r.bits for r in loads) - 16) < 1e-6
+
+
 def test_open_needs_an_index(spark, tmp_path):
     with pytest.raises(ValueError):
         VectorIndex.open(spark, str(tmp_path / "none"))
@@ -141,8 +201,9 @@ def test_interval_rules(spark):
     assert pick(limit=0) == [0, 1, 2, 4, 3]  # theta is 2.0; the endless interval reaches down to it
     assert pick(limit=3) == [0, 1, 2]  # ties by token, and the bound comes after the cut
     assert pick(limit=0, z=0.0) == [0, 1]
-    few = SearchParams(8, 1, 1.0, 0)
-    assert search.interval_select(rows, few).isEmpty()
+    with pytest.raises(Exception, match="fewer rows than k"):
+        search.interval_select(rows, SearchParams(8, 1, 1.0, 0)).collect()
+    assert search.interval_select(rows, SearchParams(8, 1, 1.0, 0), strict=False).count() == 7
 
 
 def test_column_helpers(spark):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lodevec.operators import search
 from lodevec.operators.index import dense_positions
-from lodevec.queries import D, K, SQL, WHOLE, asked, token_spans, vectors
+from lodevec.queries import D, K, QUERIES, WHOLE, asked, token_spans, vectors
 
 
 def test_trained_search_finds_the_neighbours(spark, tiny):
@@ -35,32 +35,18 @@ def test_positions_of_wide_rows_are_dense(spark):
     assert tuple(right) == (40_000, 40_000 * 64)
 
 
-def lifted(name, *cuts):
-    """The SQL of a query without its cuts."""
-    sql = SQL[name]
-    for old, new in cuts:
-        assert old in sql
-        sql = sql.replace(old, new)
-    return sql
+def test_trained_inner_products(spark, tiny):
+    """Uneven groups, a rotation, a mean and a compact router, by inner product."""
+    assert WHOLE["recall_at_k_inner"](spark, tiny).first()[0] >= 0.9
+    assert WHOLE["ann_search_inner"](spark, tiny).where("distance > 0").count() == 0  # the nearest have positive products
 
 
-def test_every_id_is_looked_up(same_as_sql):
-    same_as_sql(WHOLE["location_lookup_all"], lifted("location_lookup", ("range(0, 2000, 13)", "range((SELECT count(*) + 1 + count(*) // 100 FROM e))")))
+def test_trained_layout(spark, tiny):
+    rows = WHOLE["trained_layout"](spark, tiny).collect()
+    assert sorted(r.group for r in rows) == list(range(24)) and sum(r.dimensions for r in rows) == D
+    assert abs(sum(r.bits for r in rows) - 96) < 1e-3
 
 
-def test_every_token_is_mapped(spark, tiny, same_as_sql):
-    same_as_sql(WHOLE["token_range_join_all"], lifted("token_range_join", (', max("end"), 10)', ', max("end"))')))
-    total = WHOLE["token_range_join_all"](spark, tiny).count()
+def test_every_token_is_mapped(spark, tiny):
+    total = QUERIES["token_range_join"](spark, tiny).count()
     assert total == token_spans(spark, tiny).agg(F.sum("size")).first()[0]
-
-
-def test_deletions_are_the_query_set(same_as_sql):
-    same_as_sql(WHOLE["delete_swap_plan_asked"], lifted("delete_swap_plan", ("logical_id % 7", "id % 20")))
-
-
-def test_all_coordinates_are_compared(same_as_sql):
-    firsts = SQL["pq_decode"][SQL["pq_decode"].index("round(r[1]") : SQL["pq_decode"].index(" FROM dec", SQL["pq_decode"].index("round(r[1]"))]
-    same_as_sql(WHOLE["pq_decode_all"], lifted("pq_decode", (firsts, "d::INTEGER AS dim, round(r[d + 1] * sd, 6) + 0.0 AS x"), (" FROM dec", f" FROM dec, range({D}) t(d)")))
-    first = "round(CASE WHEN n > 1e-12 THEN c[1] / n ELSE 0 END, 6) + 0.0 AS first_component FROM n"
-    every = f"d::INTEGER AS dim, round(CASE WHEN n > 1e-12 THEN c[d + 1] / n ELSE 0 END, 6) + 0.0 AS x FROM n, range({D}) t(d)"
-    same_as_sql(WHOLE["mean_norm_direction_all"], lifted("mean_norm_direction", (first, every)))
