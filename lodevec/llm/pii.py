@@ -2,14 +2,15 @@
 
 Numbers and dates that are valid of their kind are permuted, under a key, among the valid values of the same format: a
 card number becomes another one with the same punctuation and a right check digit, a date another day in the same
-notation. Equal values get equal pseudonyms in every document, and the key's holder can undo them. Of e-mail addresses
-the letters and digits before the @ are permuted, each within its kind.
+notation. Equal values get equal pseudonyms in every document, and the key's holder can undo them. What isn't valid of
+its kind stays as it is. Of e-mail addresses the letters and digits before the @ are permuted, each within its kind.
 
 A value is split into two numbers, left in [0, a) and right in [0, b), where a * b is the number of valid values; rounds
 add a keyed hash of one side to the other, modulo its size. Each round can be undone, so the whole is a permutation of
 exactly the valid values, without cycle walking.
 
-DataFrame and SQL functions only.
+The key comes as a column that a scalar subquery fills, so plans and event logs show its name only. DataFrame and SQL
+functions only.
 """
 
 from __future__ import annotations
@@ -25,16 +26,18 @@ from lodevec.llm.matches import sql_text
 #: The kinds and their patterns, in the order in which they are tried at a place.
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "date": r"(?<![0-9.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9-])",
     "ip": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9(+])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[1-9](?:[ .-]?\(?[0-9]\)?){7,14})(?![0-9])",
     "number": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
 #: Lengths of IBANs by country.
 IBAN_LENGTHS = "AD24AE23AL28AT20AZ28BA20BE16BG22BH22BI27BR29BY28CH21CR22CY28CZ24DE22DJ27DK18DO28EE20EG29ES24FI18FK18FO18FR27GB22GE22GI23GL18GR27GT28HN28HR21HU28IE22IL23IQ23IS26IT27JO30KW30KZ20LB28LC32LI21LT20LU20LV21LY25MC27MD24ME22MK19MN20MR27MT31MU30NI28NL18NO15OM23PK24PL28PS29PT25QA29RO24RS22RU33SA24SC31SD18SE24SI19SK24SM27SO23ST25SV28TL23TN24TR26UA29VA22VG24XK20YE30"
+#: Country codes of one and two digits; all others have three.
+CODES = "^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 #: Days of the 400 years of the calendar's cycle, 189 * 773, from this day on.
 FIRST_DAY, CYCLE_A, CYCLE_B = "1700-01-01", 189, 773
 
@@ -48,8 +51,8 @@ class PiiParams:
 
 
 def feistel(left: str, right: str, a: str, b: str, kind: str, p: PiiParams) -> str:
-    """SQL for struct<l, r>: the permuted pair of bigints, left below a and right below b."""
-    mask = f"cast(conv(substring(sha2(concat_ws(':', {sql_text(p.key)}, {kind}, cast(f.a as string), cast(f.b as string), cast(i as string), cast(if(i % 2 = 0, f.r, f.l) as string)), 256), 1, 15), 16, 10) as bigint)"
+    """SQL for struct<l, r>: the permuted pair of bigints, left below a and right below b. The key is the column _key."""
+    mask = f"cast(conv(substring(sha2(concat_ws(':', _key, {kind}, cast(f.a as string), cast(f.b as string), cast(i as string), cast(if(i % 2 = 0, f.r, f.l) as string)), 256), 1, 15), 16, 10) as bigint)"
     step = f"if(i % 2 = 0, named_struct('l', (f.l + pmod({mask}, f.a)) % f.a, 'r', f.r, 'a', f.a, 'b', f.b), named_struct('l', f.l, 'r', (f.r + pmod({mask}, f.b)) % f.b, 'a', f.a, 'b', f.b))"
     start = ", ".join(f"'{n}', cast({v} as bigint)" for n, v in (("l", left), ("r", right), ("a", a), ("b", b)))
     return f"aggregate(sequence(0, {p.rounds - 1}), named_struct({start}), (f, i) -> {step})"
@@ -84,18 +87,25 @@ def luhn_sum(digits: str) -> str:
 
 
 def number_sql(h: str, p: PiiParams) -> str:
-    """Digits before the last are permuted; the last keeps its distance from the right check digit, so a valid number
-    stays valid and another one stays what it is."""
+    """Digits before the last are permuted and the check digit made anew. A match is cut to a valid number before."""
     body = permuted_digits("substring(n, 1, length(n) - 1)", "'number'", p)
-    # The distance of the last digit from the right one.
-    gap = f"pmod(cast(substring(n, -1, 1) as int) + {luhn_sum('substring(n, 1, length(n) - 1)')}, 10)"
-    last = f"pmod({gap} - {luhn_sum('m')}, 10)"
-    return let("n", digits_of(h), let("m", body, refilled(h, f"concat(m, cast({last} as string))")))
+    return let("n", digits_of(h), let("m", body, refilled(h, f"concat(m, cast(pmod(-{luhn_sum('m')}, 10) as string))")))
 
 
 def phone_sql(h: str, p: PiiParams) -> str:
-    """The ten national digits are permuted; a country code stays."""
-    return let("n", digits_of(h), refilled(h, f"concat(substring(n, 1, length(n) - 10), {permuted_digits('substring(n, -10, 10)', chr(39) + 'phone' + chr(39), p)})"))
+    """A country code stays. Of ten digits without one or behind a 1, area and exchange codes that can be (200 to 999)
+    are permuted with the line among those that can be; where one can't be, both keep their first digits. Of other
+    numbers all national digits are permuted; they must be 4 at least, and 15 digits in all at most."""
+    area, exchange, line = "cast(substring(n, 1, 3) as bigint)", "cast(substring(n, 4, 3) as bigint)", "cast(substring(n, 7, 4) as bigint)"
+    pair = feistel(f"({area} - 200) * 800 + {exchange} - 200", line, "640000", "10000", "'phone'", p)
+    right = let("t", pair, "concat(lpad(cast(t.l div 800 + 200 as string), 3, '0'), lpad(cast(t.l % 800 + 200 as string), 3, '0'), lpad(cast(t.r as string), 4, '0'))")
+    rest = permuted_digits("concat(substring(n, 2, 2), substring(n, 5))", "'phone'", p)
+    other = let("o", rest, "concat(substring(n, 1, 1), substring(o, 1, 2), substring(n, 4, 1), substring(o, 3))")
+    ten = f"if({area} >= 200 and {exchange} >= 200, {right}, {other})"
+    national = permuted_digits("n", f"concat('phone', {'c'})", p)
+    code = f"if(left({h}, 1) <> '+', '', if(w rlike '{CODES}', regexp_extract(w, '{CODES}', 0), substring(w, 1, 3)))"
+    new = f"case when c in ('', '1') and length(n) = 10 then {ten} when c <> '' and length(n) >= 4 and length(w) <= 15 then {national} end"
+    return let("w", digits_of(h), let("c", code, let("n", "substring(w, length(c) + 1)", refilled(h, f"concat(c, {new})"))))
 
 
 def ssn_sql(h: str, p: PiiParams) -> str:
@@ -116,14 +126,16 @@ def ip_sql(h: str, p: PiiParams) -> str:
 
 
 def date_sql(h: str, p: PiiParams) -> str:
-    """Days of the years 1700 to 2099; null for others and for days that don't exist. 01/02/2003 is month, day, year."""
+    """Days of the years 1700 to 2099; null for others and for days that don't exist. 01/02/2003 is month, day, year;
+    where that is no day, day, month, year."""
     y, m, d = "case when {0} rlike '^[0-9]{{4}}' then substring({0}, 1, 4) else substring({0}, 7, 4) end", "case when {0} rlike '^[0-9]{{4}}' then substring({0}, 6, 2) when {0} like '%.%' then substring({0}, 4, 2) else substring({0}, 1, 2) end", "case when {0} rlike '^[0-9]{{4}}' then substring({0}, 9, 2) when {0} like '%.%' then substring({0}, 1, 2) else substring({0}, 4, 2) end"
     day = "try_cast(concat_ws('-', " + ", ".join(x.format(h) for x in (y, m, d)) + ") as date)"
+    turned = f"try_cast(concat_ws('-', substring({h}, 7, 4), substring({h}, 4, 2), substring({h}, 1, 2)) as date)"
     pair = feistel(f"n div {CYCLE_B}", f"n % {CYCLE_B}", str(CYCLE_A), str(CYCLE_B), "'date'", p)
     new = f"date_add(date '{FIRST_DAY}', cast(t.l * {CYCLE_B} + t.r as int))"
-    style = f"case when {h} like '____-%' then 'yyyy-MM-dd' when {h} like '____/%' then 'yyyy/MM/dd' when {h} like '%.%' then 'dd.MM.yyyy' else 'MM/dd/yyyy' end"
-    shown = f"case {style} when 'yyyy-MM-dd' then date_format({new}, 'yyyy-MM-dd') when 'yyyy/MM/dd' then date_format({new}, 'yyyy/MM/dd') when 'dd.MM.yyyy' then date_format({new}, 'dd.MM.yyyy') else date_format({new}, 'MM/dd/yyyy') end"
-    return let("n", f"datediff({day}, date '{FIRST_DAY}')", f"if(n between 0 and {CYCLE_A * CYCLE_B - 1}, {let('t', pair, shown)}, null)")
+    style = f"case when {h} like '____-%' then 'yyyy-MM-dd' when {h} like '____/%' then 'yyyy/MM/dd' when {h} like '%.%' then 'dd.MM.yyyy' when {day} is null then 'dd/MM/yyyy' else 'MM/dd/yyyy' end"
+    shown = f"case {style} when 'yyyy-MM-dd' then date_format({new}, 'yyyy-MM-dd') when 'yyyy/MM/dd' then date_format({new}, 'yyyy/MM/dd') when 'dd.MM.yyyy' then date_format({new}, 'dd.MM.yyyy') when 'dd/MM/yyyy' then date_format({new}, 'dd/MM/yyyy') else date_format({new}, 'MM/dd/yyyy') end"
+    return let("n", f"datediff(coalesce({day}, if({h} like '__/%', {turned}, null)), date '{FIRST_DAY}')", f"if(n between 0 and {CYCLE_A * CYCLE_B - 1}, {let('t', pair, shown)}, null)")
 
 
 def iban_mod(text: str) -> str:
@@ -185,15 +197,13 @@ def iban_extent(h: str) -> str:
 
 def number_extent(h: str) -> str:
     """SQL: how many characters of a match are the number: up to an end where the check digit is right, at the usual
-    length of such a card if it is right there, or else the longest. If none is, but one that starts later in the match
-    has a right one, null; if none has, the whole match."""
-    part = f"substring({h}, s, i - s + 1)"
+    length of such a card if it is right there, or else the longest; null if none is."""
+    part = f"substring({h}, 1, i)"
     right = let("v", digits_of(part), f"length(v) between 13 and 19 and pmod(cast(substring(v, -1, 1) as int) + {luhn_sum('substring(v, 1, length(v) - 1)').replace('(s, i)', '(t, j)').replace(', i, 1', ', j, 1').replace('- i + 1', '- j + 1').replace('s + if', 't + if')}, 10) = 0")
-    ends = f"filter(sequence(13, length({h})), i -> (i = length({h}) or substring({h}, i + 1, 1) in (' ', '-')) and i - s >= 12 and {right})"
-    starts = f"filter(sequence(1, length({h}) - 12), s -> s = 1 or substring({h}, s - 1, 1) in (' ', '-'))"
+    ends = f"filter(sequence(13, length({h})), i -> (i = length({h}) or substring({h}, i + 1, 1) in (' ', '-')) and {right})"
     usual = f"case when {h} rlike '^3[ -]?[47]' then 15 when {h} rlike '^(?:4|5[ -]?[1-5]|2[ -]?[2-7]|6[ -]?[045])' then 16 else 0 end"
-    own = f"array_max(filter(e[0], i -> length({digits_of(f'substring({h}, 1, i)')}) = {usual}))"
-    return let("e", f"transform({starts}, s -> {ends})", f"coalesce({own}, array_max(e[0]), if(exists(e, x -> size(x) > 0), null, length({h})))")
+    own = f"array_max(filter(e, i -> length({digits_of(f'substring({h}, 1, i)')}) = {usual}))"
+    return let("e", ends, f"coalesce({own}, array_max(e))")
 
 
 EXTENTS = {"iban": iban_extent, "number": number_extent}
@@ -214,7 +224,8 @@ def pseudonymised(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame
     extent = "case z.k " + " ".join(f"when '{k}' then {EXTENTS[k]('z.h')}" for k in EXTENTS) + " else length(z.h) end"
     maker = "case z.k " + " ".join(f"when '{k}' then {MAKERS[k]('z.h', params)}" for k in PATTERNS) + " end"
     # Texts without a match are searched once and stay as they are. Others are cut at each place where a match starts.
-    rows = boxed(docs, _text=F.col("text")).withColumn("_has", F.expr(f"coalesce(_text rlike {pattern}, false)"))
+    key = docs.sparkSession.createDataFrame([(params.key,)], "key string")
+    rows = boxed(docs, _text=F.col("text")).withColumn("_key", key.scalar()).withColumn("_has", F.expr(f"coalesce(_text rlike {pattern}, false)"))
     hits = rows.withColumn("_hits", F.expr(f"if(_has, transform(regexp_extract_all(_text, {ahead}, 1), h -> named_struct('h', h, 'k', {kind})), cast(array() as array<struct<h:string,k:string>>))"))
     hits = hits.withColumn("_hits", F.expr(f"transform(_hits, z -> named_struct('k', z.k, 'h', substring(z.h, 1, {extent})))"))
     made = hits.withColumn("_new", F.expr(f"transform(_hits, z -> named_struct('k', z.k, 'n', length(z.h), 'p', {maker}))"))
