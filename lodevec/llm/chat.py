@@ -1,7 +1,8 @@
 """Chat formatting of reply trees.
 
-Messages point to the message that they answer. Iterative self-joins double the length of the jumps up the tree, and
-with each length every path found so far grows twofold, so all root-to-leaf paths are there after log2(depth) rounds.
+Messages point to the message that they answer. Iterative self-joins double the length of the jumps up the tree until no
+jump stays inside it, which takes log2(depth) rounds; jumps that outlive log2(messages) rounds go round a cycle. Then
+with each length, from the longest, every path found so far grows twofold, and all root-to-leaf paths are there.
 A path's score is the sum of its messages' scores; the best paths of each tree are chosen and formatted, each as one
 conversation. The template marks turns with control strings; inside roles and texts the characters that such strings
 are made of are written as two-character codes, so a text can't forge a turn and reading back is exact.
@@ -24,12 +25,10 @@ CODES = {"\\": "\\b", "<": "\\l", "[": "\\s", "|": "\\p"}
 
 @dataclass(frozen=True)
 class ChatParams:
-    """best: paths taken from each tree, by score, ties by leaf (None: all); trained: roles whose texts are learned;
-    max_rounds: doublings after which a cycle of replies is assumed (2**40 messages on one path)."""
+    """best: paths taken from each tree, by score, ties by leaf (None: all); trained: roles whose texts are learned."""
 
     best: int | None = None
     trained: tuple[str, ...] = ("assistant",)
-    max_rounds: int = 40
 
 
 def escaped(text: Column) -> Column:
@@ -48,25 +47,26 @@ def reply_paths(messages: DataFrame, params: ChatParams = ChatParams(), paths: l
     """(leaf, node, up, root, path_score): a row for each message of each chosen path, up counting from the leaf.
 
     messages: msg_id (unique), parent_id, score. A message whose parent is null or missing is a root. Null scores count
-    as 0. Messages on or below a cycle of replies raise a ValueError.
+    as 0. A cycle of replies raises a ValueError before any path grows.
     """
     own: list[str] = []
     keep = own if paths is None else paths
     nodes = messages.select("msg_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = nodes.select(F.col("msg_id").alias("parent_id"))
     jumps = nodes.where("parent_id is not null").join(known, "parent_id", "left_semi").select(F.col("msg_id").alias("node"), F.col("parent_id").alias("to"))
-    jumps = written(jumps, "jumps", keep)
-    leaves = nodes.join(jumps.select(F.col("to").alias("msg_id")).distinct(), "msg_id", "left_anti")
-    found = leaves.select(F.col("msg_id").alias("leaf"), F.col("msg_id").alias("node"), F.lit(0).cast("long").alias("up"))
-    for k in range(params.max_rounds + 1):
-        if jumps.isEmpty():
-            break
-        if k == params.max_rounds:
+    rounds = [written(jumps, "jumps", keep)]  # rounds[k]: jumps over 2**k messages
+    most = rounds[0].count().bit_length()
+    while not rounds[-1].isEmpty():
+        if len(rounds) > most:  # a way of 2**most messages has one of them twice
+            drop_paths(messages.sparkSession, keep)
             raise ValueError("the replies form a cycle")
-        higher = found.join(jumps, "node").select("leaf", F.col("to").alias("node"), (F.col("up") + 2**k).alias("up"))
+        on = rounds[-1].select(F.col("node").alias("to"), F.col("to").alias("next"))
+        rounds.append(written(rounds[-1].join(on, "to").select("node", F.col("next").alias("to")), "jumps", keep))
+    leaves = nodes.join(rounds[0].select(F.col("to").alias("msg_id")).distinct(), "msg_id", "left_anti")
+    found = leaves.select(F.col("msg_id").alias("leaf"), F.col("msg_id").alias("node"), F.lit(0).cast("long").alias("up"))
+    for k, jump in reversed(list(enumerate(rounds[:-1]))):
+        higher = found.join(jump, "node").select("leaf", F.col("to").alias("node"), (F.col("up") + 2**k).alias("up"))
         found = written(found.unionByName(higher), "paths", keep)
-        on = jumps.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        jumps = written(jumps.join(on, "to").select("node", F.col("next").alias("to")), "jumps", keep)
     scored = found.join(nodes.select(F.col("msg_id").alias("node"), "score"), "node")
     summary = scored.groupBy("leaf").agg(F.sum("score").alias("path_score"), F.max_by("node", "up").alias("root"))
     if params.best is not None:

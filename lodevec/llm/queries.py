@@ -47,12 +47,12 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodevec.llm.chat import chats, linear, read_back
+    from lodevec.llm.chat import ChatParams, chats, linear, read_back
 
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
-    return read_back(chats(linear(rows)))
+    return read_back(chats(linear(rows), ChatParams(best=1)))  # a conversation is a tree of one branch, its best one
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

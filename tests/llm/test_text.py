@@ -320,9 +320,36 @@ def test_reply_trees(spark):
     assert len(mask) == 1 and "<" not in mask[0]
     assert set(r.leaf for r in chat.chats(messages, chat.ChatParams(best=1)).collect()) == {"d", "lost"}
     assert chat.chats(messages.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        loop = spark.createDataFrame([("x", "y", "", "", 0.0), ("y", "x", "", "", 0.0), ("z", "x", "", "", 0.0)], messages.schema)
-        chat.reply_paths(loop, chat.ChatParams(max_rounds=4))
+    for loop in ([("x", "y"), ("y", "x"), ("z", "x"), *[(f"m{i}", f"m{i - 1}" if i else None) for i in range(300)]], [("x", "x")], [(f"c{i}", f"c{(i + 1) % 33}") for i in range(33)]):
+        with pytest.raises(ValueError, match="cycle"):
+            chat.reply_paths(spark.createDataFrame([(*m, "", "", 0.0) for m in loop], messages.schema))
+
+
+def plain_paths(rows, best):
+    """All root-to-leaf paths of each tree, ranked by score."""
+    parent = {i: p for i, p, *_ in rows}
+    score = {i: x or 0.0 for i, _, _, _, x in rows}
+    trees = {}
+    for leaf in set(parent) - set(parent.values()):
+        path = [leaf]
+        while parent[path[-1]] in parent:
+            path.append(parent[path[-1]])
+        trees.setdefault(path[-1], []).append((-sum(score[i] for i in path), leaf, path[::-1]))
+    return {leaf: (root, -s, path) for root, found in trees.items() for s, leaf, path in sorted(found)[:best]}
+
+
+@pytest.mark.parametrize("best", [None, 1, 2])
+def test_branches_are_ranked(spark, best):
+    draw, rows = random.Random(4), []
+    for tree in range(6):
+        for i in range(40):
+            parent = f"{tree}-{draw.randrange(max(0, i - 6), i):02}" if i else None
+            rows.append((f"{tree}-{i:02}", parent, draw.choice(["user", "assistant"]), f"text {tree} {i} <|", float(draw.randrange(3))))
+    messages = spark.createDataFrame(rows, "msg_id string, parent_id string, role string, text string, score double")
+    said = {i: (role, text) for i, _, role, text, _ in rows}
+    out = chat.chats(messages, chat.ChatParams(best=best)).select("leaf", "root", "path_score", chat.parsed(F.col("conversation")).alias("turns")).collect()
+    want = plain_paths(rows, best)
+    assert len(out) == len(want) and {r.leaf: (r.root, r.path_score, [tuple(t) for t in r.turns]) for r in out} == {k: (a, b, [said[i] for i in path]) for k, (a, b, path) in want.items()}
 
 
 def test_chat_odd_rows(spark):
