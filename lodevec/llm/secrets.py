@@ -2,8 +2,9 @@
 
 Two first-order chains over the characters of candidate strings are trained from labelled samples: random strings
 (label 1: strings drawn from hashes in common alphabets, and the values that the base rules find) and identifiers
-(label 0: words of a bounded sample of texts, alone and joined the ways code joins them). A candidate is reported if
-its log-likelihood ratio, per character, is above a threshold.
+(label 0: words of a bounded sample of texts, alone and joined the ways code joins them, and numbers). Every run of
+characters of at least 12 is a candidate, and its log-likelihood ratio alone decides: it must reach a least value for
+each character and a least value in all, which short strings reach only if they look the more random.
 
 DataFrame and SQL functions only; what reaches the driver is the table of character pairs, of fixed size.
 """
@@ -25,7 +26,7 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 #: 18+ characters and 16+ characters: a run is matched whole, so its length can stand in the pattern.
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{12,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 
 
@@ -33,15 +34,14 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-.
 class SecretParams:
     """assign_chars: least length of an assigned value; random: random strings drawn for each alphabet; sample_docs:
     documents that identifiers are taken from (those with the smallest hashed ids); smooth: pseudo-count of a pair of
-    characters; least: least log-likelihood ratio per character; least_digits: digits that a reported string has at
-    least."""
+    characters; least, least_sum: least log-likelihood ratio per character and of the whole string."""
 
     assign_chars: int = 12
     random: int = 2_000
     sample_docs: int = 2_000
     smooth: float = 0.5
     least: float = 0.8
-    least_digits: int = 1
+    least_sum: float = 16.0
 
 
 def base_spans(text: str, p: SecretParams) -> str:
@@ -52,7 +52,7 @@ def base_spans(text: str, p: SecretParams) -> str:
 def labelled_samples(docs: DataFrame, p: SecretParams) -> DataFrame:
     """(sample, label): the training strings. Base values come from all documents."""
     spark: SparkSession = docs.sparkSession
-    seeds = spark.range(p.random).select(F.sha2(F.concat(F.lit("random"), F.col("id").cast("string")), 256).alias("h"))
+    seeds = spark.range(p.random).select("id", F.sha2(F.concat(F.lit("random"), F.col("id").cast("string")), 256).alias("h"))
     forms = ["substring(h, 1, 40)", "upper(substring(h, 1, 32))", "replace(base64(unhex(substring(h, 1, 60))), '=', '')", "replace(replace(base64(unhex(substring(h, 5, 60))), '+', '-'), '/', '_')",
              "conv(substring(h, 1, 15), 16, 36) || lower(conv(substring(h, 16, 15), 16, 36))", "lower(conv(substring(h, 31, 15), 16, 36) || conv(substring(h, 46, 15), 16, 36))"]
     drawn = seeds.select(F.explode(F.array(*map(F.expr, forms))).alias("sample"))
@@ -65,7 +65,9 @@ def labelled_samples(docs: DataFrame, p: SecretParams) -> DataFrame:
     triples = plain.where("size(w) >= 3").select(F.explode(F.expr("transform(sequence(1, cast(floor(size(w) / 3) as int)), i -> slice(w, 3 * i - 2, 3))")).alias("t"))
     styles = ["array_join(t, '_')", "array_join(t, '-')", "array_join(t, '/')", "upper(array_join(t, '_'))", "lower(array_join(t, ''))", "replace(initcap(array_join(t, ' ')), ' ', '')", "array_join(t, '.')"]
     names = triples.select(F.expr(f"element_at(array({', '.join(styles)}), cast(pmod(xxhash64(t), {len(styles)}) as int) + 1)").alias("sample"))
-    return drawn.union(found).withColumn("label", F.lit(1)).union(names.withColumn("label", F.lit(0)))
+    # Numbers are ordinary: accounts, times and identifiers of 12 to 19 digits.
+    numbers = seeds.select(F.expr("substring(conv(substring(h, 20, 15), 16, 10) || conv(substring(h, 40, 15), 16, 10), 1, 12 + cast(pmod(id, 8) as int))").alias("sample"))
+    return drawn.union(found).withColumn("label", F.lit(1)).union(names.union(numbers).withColumn("label", F.lit(0)))
 
 
 def fit(samples: DataFrame, p: SecretParams) -> list[float]:
@@ -86,20 +88,19 @@ def scan(docs: DataFrame, params: SecretParams = SecretParams(), samples: DataFr
     """(doc_id, _base, _spans) of docs (doc_id, text): arrays of structs (s, k, e, v) by start, then kind.
 
     Null text counts as empty and has no spans. Rows are scanned one by one; repeated rows and null keys stay. A string
-    that the Markov models report is dropped where it overlaps a base span. samples: (sample, label) to train from in
+    that the Markov models report is dropped if a base span holds all of it. samples: (sample, label) to train from in
     place of labelled_samples(); with an empty table the models know nothing of the texts but the drawn strings.
     """
     p = params
     n = len(ALPHABET) + 1
     ratios = ",".join(f"{x:.4f}" for x in fit(labelled_samples(docs, p) if samples is None else samples, p))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).withColumn("_base", F.expr(f"array_sort({base_spans('_text', p)})"))
-    digits = f"length(x.hit) - length(translate(x.hit, '0123456789', '')) >= {p.least_digits}"
-    rows = rows.withColumn("_may", F.expr(spans_sql("_text", CANDIDATE, 3, digits)))
-    rows = rows.withColumn("_may", F.expr("filter(_may, m -> not exists(_base, b -> b.s < m.e and m.s < b.e))"))
+    rows = rows.withColumn("_may", F.expr(spans_sql("_text", CANDIDATE, 3)))
+    rows = rows.withColumn("_may", F.expr("filter(_may, m -> not exists(_base, b -> b.s <= m.s and m.e <= b.e))"))
     code = f"concat(array(0), transform(filter(split(m.v, ''), c -> c <> ''), c -> instr({sql_text(ALPHABET)}, c)))"
     ratio = f"cast(split('{ratios}', ',') as array<double>)"
-    llr = f"element_at(transform(array({code}), c -> aggregate(sequence(1, size(c) - 1), 0D, (a, i) -> a + element_at({ratio}, c[i - 1] * {n} + c[i] + 1)) / (size(c) - 1)), 1)"
-    rows = rows.withColumn("_spans", F.expr(f"array_sort(concat(_base, filter(_may, m -> {llr} >= {p.least})))"))
+    llr = f"element_at(transform(array({code}), c -> aggregate(sequence(1, size(c) - 1), 0D, (a, i) -> a + element_at({ratio}, c[i - 1] * {n} + c[i] + 1))), 1)"
+    rows = rows.withColumn("_spans", F.expr(f"array_sort(concat(_base, filter(_may, m -> {llr} >= greatest({p.least_sum}, {p.least} * (m.e - m.s)))))"))
     return rows.drop("_text", "_may")
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import buffers, gram_codes, hashed_sample, text_bytes
+from lodevec.llm.common import buffers, drop_paths, gram_codes, hashed_sample, text_bytes, written
 
 
 @dataclass(frozen=True)
@@ -83,10 +83,10 @@ def labelled(docs: DataFrame, labels: DataFrame, p: ToxicParams) -> DataFrame:
     return docs.select("doc_id", text_bytes("text").alias("_text")).join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("_text", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams()) -> ToxicModel:
-    """Log-count ratios over the hash space, then the regression on the chosen features of the bounded sample."""
-    p, size = params, 1 << params.bits
-    sample = labelled(docs, labels, p)
+def ratios(sample: DataFrame, p: ToxicParams, paths: list[str]) -> DataFrame:
+    """(k, bucket, pos, neg, ratio, evidence) of every bucket with enough support: numbers of toxic and of other texts of
+    sample (text bytes, toxic) that have it, and its log-count ratio."""
+    size = 1 << p.bits
 
     def count(batches):
         counts = np.zeros((2, len(p.orders), size), np.int32)
@@ -101,32 +101,45 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams())
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(counts[1, k, bucket]), pa.array(counts[0, k, bucket])], ["k", "bucket", "pos", "neg"])
 
     rows = sample.mapInArrow(count, "k int, bucket int, pos int, neg int").groupBy("k", "bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    rows = rows.where(F.col("pos") + F.col("neg") >= p.least_support).orderBy("k", "bucket").toPandas()
-    slot = np.zeros((len(p.orders), size), np.int32)
-    pos, neg = rows.pos.to_numpy(float) + p.smooth, rows.neg.to_numpy(float) + p.smooth
-    ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum()) if len(rows) else np.zeros(0)
-    evidence = (rows.pos + rows.neg).to_numpy(float) * ratio**2
-    best = np.sort(np.argsort(-evidence, kind="stable")[: p.features])
-    slot[rows.k.to_numpy()[best], rows.bucket.to_numpy()[best]] = np.arange(len(best)) + 1
-    bare = ToxicModel(p, slot, np.zeros(len(best), np.int64))
+    rows = written(rows.where(F.col("pos") + F.col("neg") >= p.least_support), "grams", paths)
+    pos, neg = F.col("pos") + p.smooth, F.col("neg") + p.smooth
+    all_pos, all_neg = rows.agg(F.sum(pos), F.sum(neg)).first()
+    rows = rows.withColumn("ratio", F.log(pos / (all_pos or 1.0)) - F.log(neg / (all_neg or 1.0)))
+    return rows.withColumn("evidence", (F.col("pos") + F.col("neg")) * F.col("ratio") * F.col("ratio"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams()) -> ToxicModel:
+    """Log-count ratios over the hash space, then the regression on the chosen features of the bounded sample. The driver
+    gets a row for each feature and, of each sampled text, which features it has."""
+    p, paths = params, []
+    sample = labelled(docs, labels, p)
+    best = ratios(sample, p, paths).orderBy(F.desc("evidence"), "k", "bucket").limit(p.features).select("k", "bucket", "ratio").toArrow()
+    drop_paths(docs.sparkSession, paths)
+    k, bucket, ratio = (best.column(i).to_numpy() for i in range(3))
+    order = np.lexsort((bucket, k))
+    slot = np.zeros((len(p.orders), 1 << p.bits), np.int32)
+    slot[k[order], bucket[order]] = np.arange(len(order)) + 1
+    bare = ToxicModel(p, slot, np.zeros(len(order), np.int64))
 
     def gather(batches):
         for batch in batches:
             lists = []
             for _, data, offsets in buffers(batch.column(0)):
                 row, feature = bare.found(data, offsets)
-                lists += np.split(feature.astype(np.int32), np.searchsorted(row, np.arange(1, len(offsets) - 1)))
-            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array([x.tolist() for x in lists], pa.list_(pa.int32()))], ["toxic", "found"])
+                lists += [x.tobytes() for x in np.split(feature.astype(np.int16), np.searchsorted(row, np.arange(1, len(offsets) - 1)))]
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(lists, pa.binary())], ["toxic", "found"])
 
-    drawn = sample.mapInArrow(gather, "toxic int, found array<int>").orderBy("toxic", "found").toPandas()
-    if not len(drawn) or not len(best):
+    drawn = sample.mapInArrow(gather, "toxic int, found binary").toArrow()
+    # In an order that doesn't depend on partitions, so that sums don't either.
+    rows = sorted(zip(drawn.column(0).to_pylist(), drawn.column(1).to_pylist()))
+    if not len(rows) or not len(order):
         return bare
-    x = np.zeros((len(drawn), len(best)), np.float32)
-    for i, found in enumerate(drawn.found):
-        x[i, found] = 1
-    y, scaled = drawn.toxic.to_numpy(np.float32), ratio[best].astype(np.float32)
-    x *= scaled
-    weights, bias = regression(x, y, p)
+    scaled = ratio[order].astype(np.float32)
+    x = np.zeros((len(rows), len(order)), np.float32)
+    for i, (_, found) in enumerate(rows):
+        at = np.frombuffer(found, np.int16)
+        x[i, at] = scaled[at]
+    weights, bias = regression(x, np.array([t for t, _ in rows], np.float32), p)
     return ToxicModel(p, slot, np.rint(weights * scaled * p.scale).astype(np.int64), round(bias * p.scale))
 
 

@@ -67,9 +67,29 @@ def test_quality_rules(spark):
     slow = sum(int(model.weights[k][quality.gram_codes(np.frombuffer(text[i : i + o], np.uint8), o, model.params.bits, k)[0]]) for k, o in enumerate(model.params.orders) for i in range(len(text) - o + 1))
     assert total[0] == slow and abs(by[5][0].llr - slow / n[0] / model.params.scale) < 1e-12
     assert [r.llr for r in quality.quality_rules(docs, labels.limit(0)).collect()] == [0.0] * len(rows)  # nothing trusted
+    assert max(by[100 + i][0].llr for i in range(20)) < model.threshold < min(by[i][0].llr for i in range(60))
     assert quality.quality_rules(docs.limit(0), labels).count() == 0
 
 
+def test_threshold_is_learned_from_spared_labels(spark, tiny):
+    p = quality.QualityParams()
+    one = lambda good, bad: quality.best_threshold(np.array(good, float), np.array(bad, float), p)
+    assert one([1, 2, 3], [-5, -1]) == 0.0 and one([1, 2], []) == p.threshold == one([], [1.0]) == one([2.0], [2.0])
+    assert one([0, 1, 2, 3], [-3, -2, 0.5]) == -1.0  # a good one lost costs more than a bad one kept
+    draw = random.Random(1)
+    for _ in range(200):
+        good, bad = ([draw.randrange(-9, 9) for _ in range(draw.randrange(1, 9))] for _ in range(2))
+        cost = lambda t: p.lost * np.mean([x < t for x in good]) + np.mean([x >= t for x in bad])
+        at = sorted({*good, *bad})
+        assert len(at) == 1 or cost(one(good, bad)) <= min(cost((a + b) / 2) for a, b in zip(at, at[1:])) + 1e-9
+    docs, labels = (spark.read.parquet(f"{tiny}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    rows = quality.score(docs, model).join(labels, "doc_id").where("not base_failed").collect()
+    assert model.threshold != p.threshold and np.mean([r.kept == (r.quality == 1) for r in rows]) > 0.98
+    few = labels.where(~quality.spared("doc_id", p) & (F.col("quality") == 1))
+    assert quality.fit(docs, few).threshold == p.threshold  # neither spared nor bad ones: nothing to learn from
+
+
 def test_toxicity(spark):
     draw = random.Random(5)
     rows, labels = [], []
@@ -98,6 +118,52 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), known).count() == 0
 
 
+def test_toxicity_in_plain_python(spark):
+    """Log-count ratios from plain sets of n-grams, weights where the penalised likelihood is flat, scores as plain sums."""
+    draw, params = random.Random(2), toxicity.ToxicParams(features=60, least_support=2, max_rows=50, steps=4_000, l2=0.05)
+    texts = [" ".join(draw.choice(["alpha", "beta\t", "gamma", "Delta", "vile", "foul"][: 6 if i % 3 == 0 else 4]) for _ in range(12)) for i in range(45)]
+    sample = [(bytearray(t.encode()), int(i % 3 == 0)) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(sample, "_text binary, toxic int").repartition(3)
+
+    def plain(text):
+        folded = re.sub(rb"[\t\n\r\x0b\x0c]", b" ", text.lower())
+        return {(k, int(toxicity.gram_codes(np.frombuffer(folded[i : i + n], np.uint8), n, params.bits, k)[0])) for k, n in enumerate(params.orders) for i in range(len(folded) - n + 1)}
+
+    held = [(plain(bytes(t)), toxic) for t, toxic in sample]
+    pos, neg = {}, {}
+    for grams, toxic in held:
+        for g in grams:
+            (pos if toxic else neg)[g] = (pos if toxic else neg).get(g, 0) + 1
+    kept = [g for g in {*pos, *neg} if pos.get(g, 0) + neg.get(g, 0) >= 2]
+    all_pos, all_neg = (sum(x.get(g, 0) + 1 for g in kept) for x in (pos, neg))
+    want = {g: np.log((pos.get(g, 0) + 1) / all_pos) - np.log((neg.get(g, 0) + 1) / all_neg) for g in kept}
+    got = {(r.k, r.bucket): r for r in toxicity.ratios(frame, params, []).collect()}
+    assert got.keys() == want.keys() and all(abs(got[g].ratio - want[g]) < 1e-9 and (got[g].pos, got[g].neg) == (pos.get(g, 0), neg.get(g, 0)) for g in want)
+    # The model of documents: the features with the most evidence, and the flat point of the penalised likelihood.
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(45)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, params)
+    mine = [(plain(t.encode()), int(i % 3 == 0)) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 3 != 1]
+    places = {(k, int(b)): int(model.slot[k, b]) - 1 for k, b in zip(*np.nonzero(model.slot))}
+    assert len(places) == 60 and sorted(places.values()) == list(range(60))
+    few, own = {}, {}
+    for grams, toxic in mine:
+        for g in grams:
+            few.setdefault(g, [0, 0])[toxic] += 1
+    few = {g: n for g, n in few.items() if sum(n) >= 2}
+    totals = [sum(n[t] + 1 for n in few.values()) for t in (0, 1)]
+    own = {g: np.log((n[1] + 1) / totals[1]) - np.log((n[0] + 1) / totals[0]) for g, n in few.items()}
+    evidence = sorted((sum(few[g]) * own[g] ** 2 for g in few), reverse=True)
+    assert all(sum(few[g]) * own[g] ** 2 >= evidence[59] - 1e-9 for g in places)
+    weight = {g: model.weights[i] / model.params.scale for g, i in places.items()}
+    score = lambda grams: 1 / (1 + np.exp(-(model.bias / model.params.scale + sum(weight[g] for g in grams if g in weight))))
+    for g in places:
+        flat = sum((score(grams) - toxic) * own[g] for grams, toxic in mine if g in grams) / len(mine) + params.l2 * weight[g] / own[g]
+        assert abs(flat) < 2e-3
+    scored = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels, params).collect()}
+    assert all(abs(scored[i] - score(plain(t.encode()))) < 1e-9 for i, t in enumerate(texts))
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
@@ -126,6 +192,55 @@ def test_secrets(spark, tiny):
     assert secrets.secrets(docs.limit(0)).count() == 0
 
 
+def plain_ratios(samples, smooth):
+    n = len(secrets.ALPHABET) + 1
+    counts = np.full((2, n, n), smooth)
+    for text, label in samples:
+        codes = [0] + [secrets.ALPHABET.find(c) + 1 for c in text]
+        for a, b in zip(codes, codes[1:]):
+            counts[label, a, b] += 1
+    p = np.log(counts / counts.sum(2, keepdims=True))
+    return (p[1] - p[0]).ravel()
+
+
+def test_markov_ratio_in_plain_python(spark):
+    draw, params = random.Random(12), secrets.SecretParams()
+    key = lambda n, cs=secrets.ALPHABET[:62]: "".join(draw.choice(cs) for _ in range(n))
+    word = lambda: "".join(draw.choice("aeioulnrst") for _ in range(draw.randrange(4, 9)))
+    samples = [(key(30), 1) for _ in range(3_000)] + [("_".join(word() for _ in range(3)), 0) for _ in range(3_000)] + [("é" + key(5), 1), ("", 0)]
+    frame = spark.createDataFrame(samples, "sample string, label int")
+    ratios = plain_ratios(samples, params.smooth)
+    assert np.allclose(secrets.fit(frame, params), ratios)
+    pool = [lambda: key(draw.randrange(8, 40)), word, lambda: word() + "_" + word() + word(), lambda: key(20, "0123456789abcdef"), lambda: key(30, "0123456789abcdef") + "ZZxQ9", lambda: "é" + key(14) + "é"]
+    texts = [" ".join(draw.choice(pool)() for _ in range(12)) for _ in range(60)]
+    got = {r.doc_id: r for r in secrets.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), params, frame).collect()}
+    n, found = len(secrets.ALPHABET) + 1, 0
+    for i, text in enumerate(texts):
+        base = plain_spans(text)
+        spans = list(base)
+        for m in re.finditer(secrets.CANDIDATE, text):
+            codes = [0] + [secrets.ALPHABET.find(c) + 1 for c in m[0]]
+            total = sum(float(f"{ratios[a * n + b]:.4f}") for a, b in zip(codes, codes[1:]))
+            inside = any(a <= m.start() and m.end() <= b for a, _, b in base)
+            if total >= max(params.least_sum, params.least * len(m[0])) and not inside:
+                spans.append((m.start(), 3, m.end()))
+                found += 1
+        assert got[i].spans == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+    assert found > 100
+
+
+def test_markov_finds_held_out_strings_and_leaves_texts_alone(spark, tiny):
+    """Recall of random strings drawn here, and alarms on all candidates of the sample texts."""
+    draw, docs = random.Random(99), spark.read.parquet(f"{tiny}/documents.parquet")
+    alphabets = ["0123456789ABCDEF", secrets.ALPHABET[:62], secrets.ALPHABET[:64], secrets.ALPHABET[:52], secrets.ALPHABET[:26] + "0123456789"]
+    rows = [(i, "key " + "".join(draw.choice(alphabets[i % 5]) for _ in range(12 + 4 * (i % 6))) + " end") for i in range(1_500)]
+    samples = secrets.labelled_samples(docs, secrets.SecretParams()).persist()
+    caught = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), samples=samples).where("exists(_spans, x -> x.k = 3)").count()
+    alarms = secrets.scan(docs, samples=samples).where("exists(_spans, x -> x.k = 3)").count()
+    samples.unpersist()
+    assert caught >= 0.95 * len(rows) and alarms <= 0.001 * docs.count()
+
+
 def luhn(digits):
     return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(int(c) for c in reversed(digits))) % 10 == 0
 
