@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodevec.sources.store import shared_path
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that the numpy code looks at in one go.
@@ -19,23 +19,10 @@ CHUNK_BYTES = 1 << 20
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary folder is set only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="lodevec-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/lodevec/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str, paths: list[str] | None = None, partition_by: str | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again, which cuts its lineage. paths gets the folder's path."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = shared_path(spark, name)
     out = df.write.option("compression", "zstd")
     (out.partitionBy(partition_by) if partition_by else out).parquet(path)
     if paths is not None:

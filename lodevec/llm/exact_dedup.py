@@ -18,7 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import boxed, drop_paths, new_path, written
+from lodevec.llm.common import boxed, drop_paths, written
+from lodevec.sources.store import shared_path
 
 #: Bits in one row of a filter (what bitmap_construct_agg makes), as an exponent and a number.
 BITMAP_LOG, BITMAP = 15, 32_768
@@ -108,7 +109,7 @@ class DigestIndex:
         paths: list[str] = []
         rows = self.probed(paths)
         merged = rows.where("_again").groupBy("digest").agg(self.best("id").alias("id"), F.sum("n").alias("n"))
-        path = new_path(self.spark, "compacted")
+        path = shared_path(self.spark, "compacted")
         one = rows.where("not _again").drop("_again").unionByName(merged).sortWithinPartitions("digest").withColumn("run", F.lit(0))
         one.write.partitionBy("run").option("compression", "zstd").parquet(path)
         drop_paths(self.spark, [*paths, self.path])
@@ -133,7 +134,7 @@ def exact_dedup(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFra
     docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
     rows = boxed(docs, _doc=F.col("doc_id").cast("long"), _text=F.coalesce("text", F.lit("")), _digest=digest_of(F.col("text"), params))
     paths: list[str] = []
-    index = DigestIndex(spark, new_path(spark, "runs"), params)
+    index = DigestIndex(spark, shared_path(spark, "runs"), params)
     index.flush(docs)
     index.compact()
     kept: list[str] = []  # what the result is read from

@@ -22,8 +22,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import drop_paths, new_path, text_bytes, written
+from lodevec.llm.common import drop_paths, text_bytes, written
 from lodevec.llm.exact_dedup import filter_bits, hit_filter, with_mark
+from lodevec.sources.store import shared_path
 
 MAGIC = b"\x1f\x8b\x08"
 
@@ -224,7 +225,7 @@ def round_trip(pages: DataFrame, params: WarcParams = WarcParams()) -> DataFrame
     table gives no archive and an empty result. The archives are deleted once they are read back.
     """
     spark, paths = pages.sparkSession, []
-    folder = new_path(spark, "warc")
+    folder = shared_path(spark, "warc")
     manifest = written(write_archives(with_types(pages, params, paths), folder, params), "manifest", paths)
     back = read_archives(manifest, params, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     back = written(back, "records")

@@ -226,7 +226,7 @@ def test_markov_ratio_in_plain_python(spark):
                 spans.append((m.start(), 3, m.end()))
                 found += 1
         assert got[i].spans == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
-    assert found > 100
+    assert found > 50
 
 
 def test_markov_finds_held_out_strings_and_leaves_texts_alone(spark, tiny):
