@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,9 @@ from lodevec.sources.store import shared_path
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Codec of intermediate tables: one that runs on the JVM's heap, as many short tasks that compress outside it leave the
+#: executor's native memory in pieces.
+CODEC = "lz4_raw"
 #: Bytes of text that the numpy code looks at in one go.
 CHUNK_BYTES = 1 << 20
 #: 64-bit constants of the mixing function (golden ratio and two odd numbers from its fractional powers).
@@ -23,7 +27,7 @@ def written(df: DataFrame, name: str, paths: list[str] | None = None, partition_
     """df written as Parquet to the shared folder and read again, which cuts its lineage. paths gets the folder's path."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    out = df.write.option("compression", "zstd")
+    out = df.write.option("compression", CODEC)
     (out.partitionBy(partition_by) if partition_by else out).parquet(path)
     if paths is not None:
         paths.append(path)
@@ -66,6 +70,22 @@ def hashed_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     return thin.orderBy(spread, key).limit(most)
 
 
+def tidy(run):
+    """run, for mapInArrow; what a task freed goes back to the system when it ends, as its worker then waits idle while
+    other stages need the memory."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of x reaches every bit of the result."""
     x = x ^ (x >> np.uint64(32))

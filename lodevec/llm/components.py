@@ -1,4 +1,5 @@
-"""Connected components by alternating large-star and small-star steps; each task contracts the edges it writes."""
+"""Connected components by alternating large-star and small-star steps; each task contracts the edges it writes, and once
+no more edges are left than one task contracts at once, one does."""
 
 from __future__ import annotations
 
@@ -7,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import drop_paths, written
+from lodevec.llm.common import drop_paths, tidy, written
 
 
 #: Edges that a task contracts at once.
@@ -51,7 +52,7 @@ def contracted(edges: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+    return edges.select("a", "b").mapInArrow(tidy(run), "a long, b long")
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -69,25 +70,29 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.where("a <> b").union(least.select("a", F.col("m").alias("b")))
 
 
-def components(links: DataFrame, paths: list[str]) -> DataFrame:
+def components(links: DataFrame, paths: list[str], run: int = RUN) -> DataFrame:
     """(id, component): each linked node with the smallest node it reaches. links: two columns of longs, any order,
     repeats and loops allowed; nodes without a link get no row. paths gets the folder of the result.
 
-    A step moves a bounded number of rows per link; hubs meet in map-side combines and in joins that AQE can split.
+    A step moves a bounded number of rows per link; hubs meet in map-side combines and in joins that AQE can split. run:
+    edges that one task contracts; where the steps have left no more, one task ends the work.
     """
     x, y = links.columns
     pairs = links.where(F.col(x) != F.col(y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     spark, own, old = links.sparkSession, [], []
     edges, mark = written(contracted(pairs), "edges", own), None
     while True:
-        new_paths: list[str] = []
-        edges = written(contracted(_small_star(_star(edges))).distinct(), "edges", new_paths)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        old, own = own, new_paths
         if now == mark:
             break
-        mark = now
+        mark, few, new_paths = now, now[0] <= run, []
+        # Stars come out with the root as b, and no node other than a root is in two of them.
+        step = contracted(edges.coalesce(1)) if few else contracted(_small_star(_star(edges))).distinct()
+        edges = written(step, "edges", new_paths)
         drop_paths(spark, old)
+        old, own = own, new_paths
+        if few:
+            break
     drop_paths(spark, old)
     paths += own
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

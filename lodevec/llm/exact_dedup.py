@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import boxed, drop_paths, written
+from lodevec.llm.common import CODEC, boxed, drop_paths, written
 from lodevec.sources.store import shared_path
 
 #: Bits in one row of a filter (what bitmap_construct_agg makes), as an exponent and a number.
@@ -90,7 +90,7 @@ class DigestIndex:
         p, first = self.params, len(self.runs)
         rows = docs.select(F.col("doc_id").cast("long").alias("id"), digest_of(F.col("text"), p).alias("digest"))
         table = rows.withColumn("run", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(p.memtables)).cast("int") + first).groupBy("run", "digest").agg(self.best("id").alias("id"), F.count(F.lit(1)).alias("n"))
-        table.sortWithinPartitions("run", "digest").write.mode("append").partitionBy("run").option("compression", "zstd").parquet(self.path)
+        table.sortWithinPartitions("run", "digest").write.mode("append").partitionBy("run").option("compression", CODEC).parquet(self.path)
         self.runs += range(first, first + p.memtables)
 
     def probed(self, paths: list[str]) -> DataFrame:
@@ -111,7 +111,7 @@ class DigestIndex:
         merged = rows.where("_again").groupBy("digest").agg(self.best("id").alias("id"), F.sum("n").alias("n"))
         path = shared_path(self.spark, "compacted")
         one = rows.where("not _again").drop("_again").unionByName(merged).sortWithinPartitions("digest").withColumn("run", F.lit(0))
-        one.write.partitionBy("run").option("compression", "zstd").parquet(path)
+        one.write.partitionBy("run").option("compression", CODEC).parquet(path)
         drop_paths(self.spark, [*paths, self.path])
         self.path, self.runs = path, [0]
 

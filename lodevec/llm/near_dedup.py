@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import drop_paths, mixed, text_bytes, written
+from lodevec.llm.common import drop_paths, mixed, text_bytes, tidy, written
 from lodevec.llm.components import components
 from lodevec.llm.exact_dedup import filter_bits, hit_filter, with_mark
 
@@ -123,7 +123,7 @@ def sketches(docs: DataFrame, params: NearParams) -> DataFrame:
                 regs.append(sketcher.sketch(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())], ["id", "n", "digest", "regs"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes("text")).mapInArrow(run, "id long, n long, digest binary, regs binary")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes("text")).mapInArrow(tidy(run), "id long, n long, digest binary, regs binary")
 
 
 def banded(reps: DataFrame, params: NearParams) -> DataFrame:
@@ -138,7 +138,7 @@ def banded(reps: DataFrame, params: NearParams) -> DataFrame:
                 wide = [np.repeat(part.column(i).to_numpy(zero_copy_only=False), params.bands) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), *map(pa.array, wide)], ["key", "id", "n"])
 
-    return reps.select("id", "n", "regs").mapInArrow(run, "key long, id long, n long")
+    return reps.select("id", "n", "regs").mapInArrow(tidy(run), "key long, id long, n long")
 
 
 def near_sizes(n: Column, m: Column, params: NearParams) -> Column:
@@ -170,7 +170,7 @@ def likely(pairs: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
                 good = pa.array(j >= params.percent / 100 - params.slack)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good)], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def full_sets(ids: DataFrame, docs: DataFrame, params: NearParams, paths: list[str]) -> DataFrame:
@@ -190,7 +190,7 @@ def full_sets(ids: DataFrame, docs: DataFrame, params: NearParams, paths: list[s
                 offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, values)], ["id", "s"])
 
-    return written(mine.select("id", "_text").mapInArrow(run, "id long, s array<long>"), "sets", paths)
+    return written(mine.select("id", "_text").mapInArrow(tidy(run), "id long, s array<long>"), "sets", paths)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, params: NearParams, paths: list[str]) -> DataFrame:
@@ -266,7 +266,7 @@ def between(rows: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
                         b_out.append(np.maximum(ids[x], ids[y]))
             yield pairs_batch(a_out, b_out)
 
-    return cells(rows, "key", True, "n", "first", "regs").mapInArrow(run, "a long, b long").distinct()
+    return cells(rows, "key", True, "n", "first", "regs").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def rare_shingles(sets: DataFrame, params: NearParams) -> DataFrame:
@@ -341,7 +341,7 @@ def around_large(rows: DataFrame, params: NearParams) -> DataFrame:
                             break
             yield pairs_batch(a_out, b_out)
 
-    return cells(rows, "main", False, "n", "regs", "s").mapInArrow(run, "a long, b long")
+    return cells(rows, "main", False, "n", "regs", "s").mapInArrow(tidy(run), "a long, b long")
 
 
 def near_dedup(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:

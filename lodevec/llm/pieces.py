@@ -33,6 +33,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodevec.llm.common import tidy
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NEVER = 1 << 40
@@ -417,5 +419,5 @@ def encoded(docs: DataFrame, model: PieceModel, keep: list[str] = ["doc_id"], de
                 yield pa.RecordBatch.from_arrays(out, names=[*names, "ids", "n_ids", "decoded"][: len(out)])
 
     schema = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(names, fields)) + "ids array<int>, n_ids long" + ", decoded string" * decode
-    out = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)), F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(run, schema)
+    out = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)), F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(tidy(run), schema)
     return out.toDF(*keep, *out.columns[len(keep) :])

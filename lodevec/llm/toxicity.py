@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import buffers, drop_paths, gram_codes, hashed_sample, text_bytes, written
+from lodevec.llm.common import buffers, drop_paths, gram_codes, hashed_sample, text_bytes, tidy, written
 
 
 @dataclass(frozen=True)
@@ -100,7 +100,7 @@ def ratios(sample: DataFrame, p: ToxicParams, paths: list[str]) -> DataFrame:
         k, bucket = np.nonzero(counts.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(counts[1, k, bucket]), pa.array(counts[0, k, bucket])], ["k", "bucket", "pos", "neg"])
 
-    rows = sample.mapInArrow(count, "k int, bucket int, pos int, neg int").groupBy("k", "bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    rows = sample.mapInArrow(tidy(count), "k int, bucket int, pos int, neg int").groupBy("k", "bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     rows = written(rows.where(F.col("pos") + F.col("neg") >= p.least_support), "grams", paths)
     pos, neg = F.col("pos") + p.smooth, F.col("neg") + p.smooth
     all_pos, all_neg = rows.agg(F.sum(pos), F.sum(neg)).first()
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams())
                 lists += [x.tobytes() for x in np.split(feature.astype(np.int16), np.searchsorted(row, np.arange(1, len(offsets) - 1)))]
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(lists, pa.binary())], ["toxic", "found"])
 
-    drawn = sample.mapInArrow(gather, "toxic int, found binary").toArrow()
+    drawn = sample.mapInArrow(tidy(gather), "toxic int, found binary").toArrow()
     # In an order that doesn't depend on partitions, so that sums don't either.
     rows = sorted(zip(drawn.column(0).to_pylist(), drawn.column(1).to_pylist()))
     if not len(rows) or not len(order):
@@ -177,4 +177,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicPara
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= params.least).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), params).alias("held_out"), text_bytes("text").alias("_text"))
-    return rows.mapInArrow(rate, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(rate), "doc_id long, held_out boolean, score double, predicted int")

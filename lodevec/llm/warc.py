@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import drop_paths, text_bytes, written
+from lodevec.llm.common import drop_paths, text_bytes, tidy, written
 from lodevec.llm.exact_dedup import filter_bits, hit_filter, with_mark
 from lodevec.sources.store import shared_path
 
@@ -109,7 +109,7 @@ def write_archives(rows: DataFrame, folder: str, p: WarcParams) -> DataFrame:
             done.append((root + path, size, n))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())], ["path", "bytes", "records"])
 
-    return rows.mapInArrow(run, "path string, bytes long, records long")
+    return rows.mapInArrow(tidy(run), "path string, bytes long, records long")
 
 
 class RangeReader:
@@ -206,7 +206,7 @@ def read_archives(manifest: DataFrame, p: WarcParams, payloads: bool = True) ->
                             rows = []
                 yield batch_of(rows)
 
-    return ranges.mapInArrow(run, RECORD)
+    return ranges.mapInArrow(tidy(run), RECORD)
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
