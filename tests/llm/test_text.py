@@ -5,6 +5,7 @@ import datetime
 import hashlib
 import io
 import itertools
+import os
 import random
 import re
 import zlib
@@ -17,6 +18,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodevec.llm import chat, pii, pieces, quality, queries, secrets, toxicity, warc
+from lodevec.llm.common import written
+from lodevec.sources.store import shared_path
 
 TOKENIZER = f"{queries.TOKENIZERS}/piece_bpe_32k.model"
 DOCS = "doc_id long, text string, lang string, kept string"
@@ -487,6 +490,21 @@ def test_warc_ranges_own_each_record_once():
     assert back == payloads * 3
 
 
+def test_warc_ranges_are_read_by_tasks_of_their_own(spark):
+    params = warc.WarcParams(range_bytes=2_000, archive_bytes=9_000)
+    draw = random.Random(7)
+    pages = spark.createDataFrame([(i, "u", draw.randbytes(300).hex()) for i in range(120)], "page_id long, url string, html string")
+    paths = []
+    manifest = written(warc.write_archives(warc.with_types(pages, params, paths), shared_path(spark, "warc"), params), "manifest")
+    ranges = sum(-(-r.bytes // params.range_bytes) for r in manifest.collect())
+    tasks = warc.read_archives(manifest, params).select(F.spark_partition_id().alias("task"), "page_id").collect()
+    assert len(tasks) == 120 and ranges >= 12 and len({r.task for r in tasks}) >= 0.8 * ranges
+    held = f"{spark.conf.get('spark.checkpoint.dir')}/lodevec"
+    before = set(os.listdir(held))
+    assert warc.round_trip(pages, params).count() == 120
+    assert not any(x.startswith(("warc", "manifest")) for x in set(os.listdir(held)) - before)  # archives are gone
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "u", "same"), (9, None, "same"), (9, "v\r\nw%", "same"), (3, "u", None), (4, "u", ""), (None, "u", "same"), (None, "u", "one"), (5, "u", "é" * 100_000)]
     frame = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, payload string")
