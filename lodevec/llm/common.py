@@ -14,9 +14,8 @@ from lodevec.sources.store import shared_path
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Codec of intermediate tables: one that runs on the JVM's heap, as many short tasks that compress outside it leave the
-#: executor's native memory in pieces.
-CODEC = "lz4_raw"
+#: Codec of intermediate tables. Not lz4_raw: reads of its pages failed on whole tables ("all input must be consumed").
+CODEC = "zstd"
 #: Bytes of text that the numpy code looks at in one go.
 CHUNK_BYTES = 1 << 20
 #: 64-bit constants of the mixing function (golden ratio and two odd numbers from its fractional powers).
