@@ -22,9 +22,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodevec.llm.common import drop_paths, mixed, text_bytes, tidy, written
@@ -38,7 +38,8 @@ class NearParams:
     similarity a pair misses every band once in 400,000; base, rate, top: SetSketch's b, a and q + 1; slack: how far an
     estimate may fall short of the threshold (5.5 standard deviations); block: most members of a bucket that are
     compared with as many others in one go; salt: most pairs of one document that meet in one place; most_bits: bits of
-    a filter at most (28: 32 MB), as an exponent."""
+    a filter at most (28: 32 MB), as an exponent; count_bits: slots in which shingles are counted at most (24: 32 MB),
+    likewise."""
 
     words: int = 5
     percent: int = 75
@@ -51,6 +52,7 @@ class NearParams:
     block: int = 64
     salt: int = 64
     most_bits: int = 28
+    count_bits: int = 24
     seed: int = 20_240
 
     @property
@@ -269,22 +271,76 @@ def between(rows: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
     return cells(rows, "key", True, "n", "first", "regs").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
+def shingle_counts(sets: DataFrame, params: NearParams) -> np.ndarray:
+    """How many shingles of all these sets (s) fall into each hashed slot, at most 65,535; a bounded number of slots.
+
+    A task counts what it reads and passes on its slots that are not empty, packed; a task for each stretch adds them up.
+    """
+    total = sets.agg(F.sum(F.size("s"))).first()[0] or 0
+    bits = max(10, min(params.count_bits, int(total).bit_length() + 1))
+    log = max(bits - 6, 10)  # slots of a stretch
+
+    def count(batches):
+        seen = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            at, n = np.unique(slots_of(batch.column(0).flatten().to_numpy(), bits), return_counts=True)
+            seen[at] += n
+        for part, own in enumerate(seen.reshape(-1, 1 << log)):
+            at = np.flatnonzero(own)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at.astype(np.uint32).tobytes()]), pa.array([own[at].tobytes()])], ["part", "at", "n"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, at, n in zip(*(c.to_pylist() for c in batch.columns)):
+                sums.setdefault(part, np.zeros(1 << log, np.int64))[np.frombuffer(at, np.uint32)] += np.frombuffer(n, np.int64)
+        for part, own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.minimum(own, 65_535).astype(np.uint16).tobytes()])], ["part", "n"])
+
+    packed = sets.select("s").mapInArrow(tidy(count), "part int, at binary, n binary")
+    out = np.zeros((1 << bits - log, 1 << log), np.uint16)
+    for row in packed.repartition("part").mapInArrow(tidy(add), "part int, n binary").toLocalIterator():
+        out[row.part] = np.frombuffer(row.n, np.uint16)
+    return out.reshape(-1)
+
+
+def slots_of(s: np.ndarray, bits: int) -> np.ndarray:
+    return (s.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def rare_shingles(sets: DataFrame, params: NearParams) -> DataFrame:
     """(key, id, component, of, n, first): the rarest shingles of each set (id, component, of, s), as far as it takes for
-    a linked pair to share one, among all these sets; shingles of one set alone are left out.
+    a linked pair to share one, among all these sets; shingles of one set alone are left out where their slot shows it.
 
     A set linked with one of at least its own size shares at least ceil(2 t n / (1 + t)) shingles with it, and with a
     smaller one ceil(t n), so the first shared one, by rarity, is among the first n + 1 less that number (first, and all
-    rows given, in this order).
+    rows given, in this order). That holds in any order that all sets have in common; here it is by the count of the
+    shingle's slot, which is its own or larger, and by the shingle. Other shingles don't leave their task.
     """
-    t, n = params.percent, F.col("n")
-    seen = sets.select("id", "component", "of", F.size("s").cast("long").alias("n"), F.explode("s").alias("key"))
-    counts = seen.groupBy("key").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
-    own = W.partitionBy("id")
-    rank = n - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("seen", "key"))  # behind those of one set alone
-    ranked = seen.join(counts, "key").withColumn("rank", rank)
-    ranked = ranked.withColumn("first", F.col("rank") <= n + 1 - F.ceil(2 * t * n / (100 + t))).where(F.col("rank") <= n + 1 - F.ceil(t * n / 100))
-    return ranked.select("key", "id", "component", "of", "n", "first")
+    t, counts = params.percent, shingle_counts(sets, params)
+    bits = len(counts).bit_length() - 1
+
+    def run(batches):
+        for batch in batches:
+            keys, rows, first = [], [], []
+            for k, s in enumerate(batch.column(3)):
+                s = s.values.to_numpy()
+                n, seen = len(s), counts[slots_of(s, bits)]
+                several = seen > 1  # the others come first in the order and are in no other set
+                alone = n - int(several.sum())
+                own = s[several][np.lexsort((s[several], seen[several]))][: max(0, n + 1 + (-t * n // 100) - alone)]
+                keys.append(own)
+                rows.append(np.full(len(own), k))
+                first.append(np.arange(alone + 1, alone + 1 + len(own)) <= n + 1 + (-2 * t * n // (100 + t)))
+            at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+            n = pc.list_value_length(batch.column(3)).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), *(batch.column(c).take(at) for c in range(3)), n.take(at), pa.array(np.concatenate(first) if first else np.zeros(0, bool))],
+                names=["key", "id", "component", "of", "n", "first"],
+            )
+
+    return sets.select("id", "component", F.col("of").cast("long"), "s").mapInArrow(tidy(run), "key long, id long, component long, of long, n long, first boolean")
 
 
 def in_wide(rows: DataFrame, docs: DataFrame, reps: DataFrame, params: NearParams, paths: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -167,6 +167,24 @@ def test_rare_shingles_grow_with_the_rows(spark):
         assert rare.groupBy("key").agg(F.max("first").alias("any")).where("any").count() == 0
 
 
+def test_only_rare_shingles_leave_their_task(spark):
+    shared, sets = list(range(1, 301)), []
+    for i in range(120):  # a passage that all have, and pairs that share the rest as well
+        sets.append((i, i, 1, sorted(shared + list(range(1_000 * (i // 2 + 1), 1_000 * (i // 2 + 1) + 100)))))
+    rows = spark.createDataFrame(sets, "id long, component long, of long, s array<long>").repartition(5)
+    params = NearParams()
+    rare = near_module.rare_shingles(rows, params)
+    assert "Generate" not in rare._jdf.queryExecution().executedPlan().toString()
+    got = rare.collect()
+    assert len(got) == 120 * 101 and {r.n for r in got} == {400}  # 400 + 1 - 300 each
+    mine = {i: {r.key for r in got if r.id == i} for i in range(120)}
+    assert all(len(mine[i] & mine[i + 1]) >= 100 for i in range(0, 120, 2))
+    # Slots that are shared change the order, not that it is one and the same for all.
+    few = near_module.rare_shingles(rows, NearParams(count_bits=10)).collect()
+    mine = {i: {r.key for r in few if r.id == i} for i in range(120)}
+    assert all(mine[i] & mine[i + 1] for i in range(0, 120, 2))
+
+
 def test_rare_shingles_keep_every_pair():
     """Of a linked pair the smaller set's first ones and the larger set's ones share a shingle."""
     draw = random.Random(2)
