@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from lodevec.llm.common import buffers, gram_codes, hashed_sample, mixed, sums_by_row, text_bytes, tidy
+from lodevec.llm.common import buffers, drop_paths, gram_codes, mixed, sums_by_row, text_bytes, tidy, written
+from lodevec.llm.exact_dedup import filter_bits, hit_filter, with_mark
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
@@ -29,9 +30,8 @@ class QualityParams:
     """Production parameters.
 
     orders, bits: lengths of the byte n-grams and bits of their hash; smooth: pseudo-count of each bucket;
-    max_trusted: most trusted documents that the target is taken from, and most of each label that the threshold is
-    learned from (those with the smallest hashed ids), so their ids can be broadcast; threshold: least score of a document
-    that stays (nats per n-gram) where no labels tell; lost: how many bad documents kept are as bad as a good one lost;
+    threshold: least score of a document that stays (nats per n-gram) where no labels tell; steps: parts of a nat between
+    which the threshold is searched; lost: how many bad documents kept are as bad as a good one lost;
     fold, folds: documents labelled good whose crc32 leaves this remainder are spared while the threshold is learned; min_words, max_repeat_pct:
     the base rules; scale: fixed-point unit of a weight.
     """
@@ -39,8 +39,8 @@ class QualityParams:
     orders: tuple[int, ...] = (2, 3)
     bits: int = 16
     smooth: float = 2.0
-    max_trusted: int = 20_000
     threshold: float = -0.5
+    steps: int = 8_192
     lost: float = 4.0
     fold: int = 1
     folds: int = 3
@@ -71,41 +71,55 @@ def spared(doc_id: str, p: QualityParams) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % p.folds == p.fold
 
 
-def trusted_ids(labels: DataFrame, params: QualityParams) -> DataFrame:
-    """At most max_trusted ids of documents labelled of good quality; which ones depends on their hash alone."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_trusted")).distinct()
-    return hashed_sample(good, "_trusted", params.max_trusted)
+def labelled(docs: DataFrame, ids: DataFrame, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, ...) that are none of ids (_id, ...), and the others beside the columns of their ids' rows, null
+    where they are none either. A filter of bounded size keeps the first where they are; only the others meet their ids."""
+    bits = filter_bits(ids.count())
+    ids = ids.withColumn("_id", F.col("_id").try_cast(docs.schema["doc_id"].dataType))  # equal numbers of other types hash otherwise
+    marked = with_mark(docs, "doc_id", written(hit_filter(ids.select(F.col("_id").alias("digest")), bits), "filter", paths), bits)
+    return marked.where("not _maybe").drop("_maybe"), marked.where("_maybe").drop("_maybe").join(ids, F.col("doc_id") == F.col("_id"), "left")
 
 
-def best_threshold(good: np.ndarray, bad: np.ndarray, p: QualityParams) -> float:
-    """The middle of the widest gap between scores where shares of good ones lost and bad ones kept cost least."""
-    if not len(good) or not len(bad):
-        return p.threshold
-    at = np.unique(np.concatenate([good, bad]))
-    if len(at) == 1:
+def trusted_ids(labels: DataFrame, params: QualityParams, paths: list[str]) -> DataFrame:
+    """(_id, _spared) of every document labelled of good quality."""
+    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
+    return written(good.withColumn("_spared", spared("_id", params).cast("int")), "trusted", paths)
+
+
+def split_at(low: np.ndarray, high: np.ndarray, good: np.ndarray, bad: np.ndarray, p: QualityParams) -> float:
+    """The middle of the widest gap between steps of scores where shares of good ones lost and bad ones kept cost least.
+    For each step, ascending: its lowest and highest score, and how many good and bad ones it holds."""
+    if len(low) < 2 or not good.sum() or not bad.sum():
         return p.threshold
-    middle = (at[:-1] + at[1:]) / 2
-    cost = p.lost * np.searchsorted(np.sort(good), middle) / len(good) + 1 - np.searchsorted(np.sort(bad), middle) / len(bad)
+    cost = p.lost * np.cumsum(good)[:-1] / good.sum() + 1 - np.cumsum(bad)[:-1] / bad.sum()
     fit = np.flatnonzero(cost <= cost.min() + 1e-12)
-    return float(middle[fit[np.argmax(np.diff(at)[fit])]])
+    best = fit[np.argmax((low[1:] - high[:-1])[fit])]
+    return float((high[best] + low[best + 1]) / 2)
+
+
+def best_threshold(good: np.ndarray, bad: np.ndarray, p: QualityParams) -> float:
+    """split_at of some scores."""
+    at, place = np.unique(np.concatenate([good, bad]), return_inverse=True)
+    return split_at(at, at, *(np.bincount(x, minlength=len(at)) for x in (place[: len(good)], place[len(good) :])), p)
 
 
-def learned_threshold(docs: DataFrame, labels: DataFrame, model: QualityModel) -> float:
-    """From documents that the base rules let through, good ones of the spared fold and bad ones; the driver gets a score
-    for each, a bounded number."""
+def learned_threshold(docs: DataFrame, labels: DataFrame, model: QualityModel, paths: list[str]) -> float:
+    """From all documents that the base rules let through, good ones of the spared fold and bad ones. Scores are bounded,
+    and so are their steps: the driver gets a row for each."""
     p = model.params
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where((F.col("quality") == 0) | spared("doc_id", p)).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_quality"))
-    some = hashed_sample(known.where("_quality = 1"), "_id", p.max_trusted).unionByName(hashed_sample(known.where("_quality = 0"), "_id", p.max_trusted))
-    mine = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("_quality", "text")
-    scores = score(mine, model, keep=["_quality"]).where("not base_failed").select("_quality", "llr").toArrow()
-    quality, llr = scores.column(0).to_numpy(), scores.column(1).to_numpy()
-    return best_threshold(llr[quality == 1], llr[quality == 0], p)
+    _, mine = labelled(docs.select("doc_id", "text"), written(known, "known", paths), paths)
+    scores = score(mine.where("_quality is not null").select("_quality", "text"), model, keep=["_quality"]).where("not base_failed")
+    count = lambda q: F.sum((F.col("_quality") == q).cast("long"))
+    steps = scores.groupBy(F.floor(F.col("llr") * p.steps).alias("step")).agg(F.min("llr").alias("low"), F.max("llr").alias("high"), count(1).alias("good"), count(0).alias("bad")).toPandas().sort_values("step")
+    return split_at(*(steps[c].to_numpy() for c in ("low", "high", "good", "bad")), p)
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> QualityModel:
-    """Count hashed n-grams of all documents and of the trusted ones; what reaches the driver is one row for each bucket."""
-    some = trusted_ids(labels, params).withColumn("_spared", spared("_trusted", params))
-    marked = docs.select("doc_id", text_bytes("text").alias("_text")).join(F.broadcast(some), F.col("doc_id") == F.col("_trusted"), "left")
+    """Count hashed n-grams of all documents and of all trusted ones; what reaches the driver is one row for each bucket."""
+    paths: list[str] = []
+    others, mine = labelled(docs.select("doc_id", text_bytes("text").alias("_text")), trusted_ids(labels, params, paths), paths)
+    marked = others.select("_text", F.lit(-1).alias("_good")).unionByName(mine.select("_text", F.coalesce("_spared", F.lit(-1)).alias("_good")))
     size = 1 << params.bits
 
     def count(batches):
@@ -128,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
         k, bucket = np.nonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(raw[k, bucket]), pa.array(target[0, k, bucket]), pa.array(target[1, k, bucket])], ["k", "bucket", "raw", "target", "spared"])
 
-    parts = marked.select("_text", F.coalesce(F.col("_spared").cast("int"), F.lit(-1)).alias("_good")).mapInArrow(tidy(count), "k int, bucket int, raw long, target long, spared long")
+    parts = marked.mapInArrow(tidy(count), "k int, bucket int, raw long, target long, spared long")
     rows = parts.groupBy("k", "bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "target", "spared"))).toPandas()
 
     def weights(number) -> np.ndarray:
@@ -141,7 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
         return np.rint(ratio * params.scale).astype(np.int32)
 
     model = QualityModel(params, weights(rows.target), params.threshold)
-    learned = learned_threshold(docs, labels, model) if rows.target.sum() else params.threshold
+    learned = learned_threshold(docs, labels, model, paths) if rows.target.sum() else params.threshold
+    drop_paths(docs.sparkSession, paths)
     return QualityModel(params, weights(rows.target + rows.spared), learned)
 
 

@@ -93,6 +93,18 @@ def test_threshold_is_learned_from_spared_labels(spark, tiny):
     assert quality.fit(docs, few).threshold == p.threshold  # neither spared nor bad ones: nothing to learn from
 
 
+def test_every_label_counts(spark, monkeypatch):
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(55)), lambda k: F.concat(F.lit("w"), F.pmod(F.xxhash64("doc_id", k), F.lit(10_000)))))
+    docs = spark.range(0, 21_000, 1, 4).select(F.col("id").alias("doc_id")).withColumn("text", words)
+    # All trusted: target and raw corpus are the same, and each n-gram's ratio is 1.
+    assert not quality.fit(docs, docs.select("doc_id", F.lit(1).alias("quality"))).weights.any()
+    seen = []
+    monkeypatch.setattr(quality, "split_at", lambda low, high, good, bad, p: seen.append((good.sum(), bad.sum())) or 0.0)
+    labels = docs.select("doc_id", (F.col("doc_id") < 300).cast("int").alias("quality"))
+    quality.fit(docs, labels)
+    assert seen == [(labels.where((F.col("quality") == 1) & quality.spared("doc_id", quality.QualityParams())).count(), 20_700)]
+
+
 def test_toxicity(spark):
     draw = random.Random(5)
     rows, labels = [], []
