@@ -12,10 +12,10 @@ What is allowed is the model's own rule:
 Whether two pieces stay apart is read off their merge trees: their last merges are undone in turn, and no pair met at the
 border on the way may be one that would have merged before the merge undone last.
 
-Texts are cut at white-space marks before the pass where no piece crosses them. The cuts of about a megabyte of text that
-are not known yet go through the pass side by side, a position at a time, as arrays; very long cuts go through the same
-pass one by one. Known cuts are kept up to a bounded number. Characters without a piece become byte pieces (or the
-unknown piece).
+Texts are cut at white-space marks before the pass where no piece crosses them. The cuts of some texts that are not known
+yet go through the pass side by side, lots of bounded size, a position at a time, as arrays; very long cuts go through
+the same pass one by one. Known cuts are kept up to a bounded number, their ids packed as bytes. Characters without a
+piece become byte pieces (or the unknown piece).
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ from lodevec.llm.common import tidy
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NEVER = 1 << 40
+#: Characters of the cuts that go side by side, and bytes of the texts that are cut in one go: what a worker holds at once.
+LOT_CHARS, STRETCH_BYTES = 1 << 18, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -228,10 +230,9 @@ class PieceCoder:
         breaks = "".join(c for c in "\n\t\r" if c not in chars)
         ends = f"{MARK}{breaks}"
         self.cuts = None if crossing else re.compile(f"{MARK}+[^{ends}]*|[^{ends}]+" + f"|[{breaks}]" * bool(breaks))
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.strange: dict[tuple[int, int], bool] = {}
-        self.numbers = list(range(n))  # one object for each id, whatever holds it
         # Byte pieces decode through escapes, so that a run of them is read as UTF-8 at the end.
         self.shown = [chr(int(p[3:5], 16) + (0xDC00 if int(p[3:5], 16) > 127 else 0)) if t == BYTE else p if t == NORMAL else " ⁇ " if t == UNKNOWN else "" for p, t in zip(m.pieces, m.types)]
 
@@ -272,7 +273,7 @@ class PieceCoder:
         """A character without a piece."""
         return [self.bytes[b] for b in char.encode("utf-8", "replace")] if len(self.bytes) == 256 else [self.unknown]
 
-    def side_by_side(self, cuts: list[str]) -> list[tuple[int, ...]]:
+    def side_by_side(self, cuts: list[str]) -> list[np.ndarray]:
         """The pass over many cuts at once, a character of each at a time; cuts come by falling length."""
         text = "".join(cuts)
         chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -323,12 +324,11 @@ class PieceCoder:
         order = np.argsort(at)
         owner, at, p = owner[order], at[order], p[order]
         stops = np.searchsorted(owner, np.arange(len(cuts) + 1)).tolist()
-        at, p, numbers, missing = (at - owner).tolist(), [*map([*self.numbers, self.missing].__getitem__, p.tolist())], self.numbers, self.missing
-        bare = set(np.unique(owner[np.array(p) == missing]).tolist())
-        return [
-            tuple(p[lo:hi]) if k not in bare else tuple(chain.from_iterable([p[i]] if p[i] != missing else self.spelled(text[at[i]]) for i in range(lo, hi)))
-            for k, (lo, hi) in enumerate(zip(stops[:-1], stops[1:]))
-        ]
+        out = [p[lo:hi] for lo, hi in zip(stops[:-1], stops[1:])]
+        for k in np.unique(owner[p == self.missing]).tolist():
+            chars = (at[stops[k] : stops[k + 1]] - k).tolist()
+            out[k] = np.array([*chain.from_iterable([i] if i != self.missing else self.spelled(text[c]) for i, c in zip(out[k].tolist(), chars))])
+        return out
 
     def alone(self, text: str) -> tuple[int, ...]:
         """The pass over one long cut, a report at a time."""
@@ -356,11 +356,11 @@ class PieceCoder:
         while at:
             p = last[at]
             at -= length[p]
-            out += [self.numbers[p]] if p != self.missing else self.spelled(text[at])[::-1]
+            out += [p] if p != self.missing else self.spelled(text[at])[::-1]
         return tuple(out[::-1])
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """The ids of some texts, about a megabyte in all."""
+    def packed_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of some texts, each text's as packed 32-bit numbers."""
         front = MARK if self.model.prefix else ""
         cuts = [(self.cuts.findall(marked) if self.cuts else [marked]) if len(marked := front + x.replace(" ", MARK)) > len(front) else [] for x in texts]
         here = set(chain.from_iterable(cuts))
@@ -370,14 +370,23 @@ class PieceCoder:
         known.update((x, older[x]) for x in here if x not in known and x in older)
         new = sorted((x for x in here if x not in known), key=len, reverse=True)
         many = next((k for k, x in enumerate(new) if len(x) < self.model.long), len(new))
-        known.update((x, self.alone(x)) for x in new[:many])
-        if many < len(new):
-            known.update(zip(new[many:], self.side_by_side(new[many:])))
-        out = [list(chain.from_iterable(map(known.__getitem__, own))) for own in cuts]
+        known.update((x, np.array(self.alone(x), np.int32).tobytes()) for x in new[:many])
+        upto = np.cumsum([len(x) for x in new[many:]])
+        lo = 0
+        while lo < len(upto):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + LOT_CHARS, "right")))
+            lot = new[many + lo : many + hi]
+            known.update((x, ids.astype(np.int32).tobytes()) for x, ids in zip(lot, self.side_by_side(lot)))
+            lo = hi
+        out = [b"".join(map(known.__getitem__, own)) for own in cuts]
         for x in new[:many]:
             del known[x]
         return out
 
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """The ids of some texts."""
+        return [np.frombuffer(x, np.int32).tolist() for x in self.packed_all(texts)]
+
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0]
 
@@ -389,7 +398,7 @@ class PieceCoder:
         return text[1:] if self.model.prefix and text[:1] == " " else text
 
 
-def stretches(column: pa.Array, most: int = 1 << 21) -> list[tuple[int, int]]:
+def stretches(column: pa.Array, most: int = STRETCH_BYTES) -> list[tuple[int, int]]:
     """Runs of rows of a text column with about so many bytes; a longer row comes alone."""
     upto = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))])
     cuts = [0]
@@ -412,10 +421,12 @@ def encoded(docs: DataFrame, model: PieceModel, keep: list[str] = ["doc_id"], de
         for batch in batches:
             for lo, hi in stretches(batch.column(len(keep))):
                 part = batch.slice(lo, hi - lo)
-                ids = coder.encode_all(part.column(len(keep)).to_pylist())
-                out = [*part.columns[: len(keep)], pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())]
+                ids = coder.packed_all(part.column(len(keep)).to_pylist())
+                sizes = np.array([len(x) // 4 for x in ids], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                out = [*part.columns[: len(keep)], lists, pa.array(sizes)]
                 if decode:
-                    out.append(pa.array([coder.decode(x) for x in ids], pa.string()))
+                    out.append(pa.array([coder.decode(np.frombuffer(x, np.int32).tolist()) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names=[*names, "ids", "n_ids", "decoded"][: len(out)])
 
     schema = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(names, fields)) + "ids array<int>, n_ids long" + ", decoded string" * decode

@@ -425,6 +425,15 @@ def test_coders_keep_a_bounded_number_of_cuts():
     assert not any(len(x) >= 6 for x in coder.known) and len(coder.known) + len(coder.older) < 20
 
 
+def test_new_cuts_go_side_by_side_in_bounded_lots(monkeypatch):
+    coder, draw = pieces.PieceCoder(toy_unigram()), random.Random(7)
+    words = ["".join(draw.choice("abcx") for _ in range(9)) for _ in range(40_000)]
+    lots, through = [], coder.side_by_side
+    monkeypatch.setattr(coder, "side_by_side", lambda cuts: lots.append(sum(map(len, cuts))) or through(cuts))
+    assert coder.encode(" ".join(words)) == [i for w in words for i in coder.alone("▁" + w)]
+    assert max(lots) <= 1 << 18 < sum(lots) == 10 * len(set(words))
+
+
 def test_pieces_of_documents(spark, tiny):
     import sentencepiece
 
